@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
 from .decontamination import contamination
+from .hamming_search import embedding_search
 from .language_id import language_ids
+from .language_model import language_model_scores
 from .mixing import mixing_report
 from .near_dedup import near_duplicate_report
+from .substring_dedup import repeated_units
 from .token_files import token_id_output
+from .token_rollup import rollup_history
 from .toxicity import toxicity_scores
 
 
@@ -27,10 +31,26 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup_history(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(table(spark, sf_dir, "documents"))
 
@@ -119,5 +139,44 @@ FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
 
 
+_ROLLUP_SQL = r"""
+WITH counted AS (
+  SELECT doc_id, source, lang,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS w,
+         coalesce(len(regexp_extract_all(
+           text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]')), 0) AS p,
+         CASE WHEN text IS NULL THEN false
+              ELSE doc_id > min(doc_id) OVER (PARTITION BY text) END AS repeated
+  FROM documents
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS n_tokens
+FROM (
+  SELECT source, lang, CASE WHEN lang = 'en' THEN 'words-1' ELSE 'pieces-2' END AS tokenizer,
+         CASE WHEN lang = 'en' AND p <= 2 * w THEN w ELSE p END AS tokens
+  FROM counted WHERE NOT coalesce(repeated, false)
+)
+GROUP BY source, lang, tokenizer
+"""
+
+_TOP_K_SQL = r"""
+WITH codes AS (
+  SELECT DISTINCT vec_id AS id,
+         array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code
+  FROM embeddings WHERE len(embedding) = 64
+), pairs AS (
+  SELECT q.id AS query_id, c.id AS vec_id, bit_count(xor(q.code, c.code)) AS distance
+  FROM codes q JOIN codes c ON q.id % 50 = 0 AND q.id <> c.id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS BIGINT) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _MIXING_SQL, "op10_benchmark_decontamination": _CONTAMINATION_SQL}
+    return {
+        "op2_mixing": _MIXING_SQL,
+        "op4_token_counts": _ROLLUP_SQL,
+        "op5_exact_top_k": _TOP_K_SQL,
+        "op10_benchmark_decontamination": _CONTAMINATION_SQL,
+    }
