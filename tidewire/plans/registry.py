@@ -72,9 +72,9 @@ def recent_days_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("calendar_windows", f"""
-SELECT {DAY.format('ts')} AS day, event_id, count(*) AS reports, count(DISTINCT source_key) AS sources FROM reports GROUP BY ALL""")
+SELECT strftime({DAY.format('ts')}, '%Y-%m-%d') AS day, event_id, count(*) AS reports, count(DISTINCT source_key) AS sources FROM reports GROUP BY ALL""")
 def calendar_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return B.reports(spark, sf).groupBy(local_day(F.col("ts")).alias("day"), "event_id").agg(
+    return B.reports(spark, sf).groupBy(local_day(F.col("ts")).cast("string").alias("day"), "event_id").agg(
         F.count(F.lit(1)).alias("reports"), F.count_distinct("source_key").alias("sources"))
 
 
@@ -212,9 +212,9 @@ def selection_decision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("selection_transitions", f"""
-SELECT quality = 1 AS before, starts_with(verdict, '+') AS after, count(*) AS n FROM ({SELECTED}) GROUP BY ALL""")
+SELECT coalesce(CAST(quality = 1 AS VARCHAR), 'none') AS before, starts_with(verdict, '+') AS after, count(*) AS n FROM ({SELECTED}) GROUP BY ALL""")
 def selection_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.transitions(F.col("quality") == 1, F.col("verdict.selected"), _selected(spark, sf))
+    return ledger.transitions(F.coalesce((F.col("quality") == 1).cast("string"), F.lit("none")), F.col("verdict.selected"), _selected(spark, sf))
 
 
 @query("taxonomy", """
@@ -255,11 +255,11 @@ def topic_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("topic_index", f""", {TOPIC_MATCH_SQL} SELECT t.topic, count(id) AS count, count(*) FILTER (day >= DATE '2024-01-20' - 6) AS week_count,
-  count(*) FILTER (day < DATE '2024-01-20' - 6 AND day >= DATE '2024-01-20' - 13) AS prev_week_count, max(day) AS latest
+  count(*) FILTER (day < DATE '2024-01-20' - 6 AND day >= DATE '2024-01-20' - 13) AS prev_week_count, strftime(max(day), '%Y-%m-%d') AS latest
 FROM topics t LEFT JOIN matches m ON t.topic = m.topic GROUP BY t.topic""")
 def topic_index(spark: SparkSession, sf: str) -> DataFrame:
     names = spark.createDataFrame([(n,) for n in P.TOPICS], "topic string")
-    return rank.topic_index(_topic_matches(spark, sf), names, "2024-01-20")
+    return rank.topic_index(_topic_matches(spark, sf), names, "2024-01-20").withColumn("latest", F.col("latest").cast("string"))
 
 
 # --- views ----------------------------------------------------------------
@@ -292,7 +292,8 @@ view AS (
     CASE WHEN mm.is_main AND m.event_id % 22 = 0 THEN 'event' WHEN m.article_id % 21 = 0 THEN '' ELSE 'ai,' || m.l_returnflag END AS tags,
     m.final_score, CASE WHEN m.l_returnflag = 'R' THEN 'processed' ELSE 'rejected' END AS status, m.published_at, m.source_id,
     coalesce(mm.is_main, true) AS is_main, coalesce(CASE WHEN mm.event_id IS NOT NULL THEN c.source_count END, 1) AS source_count,
-    CASE WHEN mm.event_id IS NOT NULL THEN ch.event_id IS NOT NULL END AS event_selected,
+    CASE WHEN mm.event_id IS NOT NULL THEN ch.event_id IS NOT NULL END AS chosen_event,
+    CASE WHEN mm.event_id IS NULL THEN 'none' WHEN ch.event_id IS NOT NULL THEN 'true' ELSE 'false' END AS event_selected,
     m.article_id % 49 = 0 AS ov_hidden, coalesce(mm.is_main AND m.event_id % 33 = 0, false) AS ev_hidden, mm.event_id AS member_of
   FROM membership m JOIN supplier ON s_suppkey = m.source_id
   LEFT JOIN (SELECT * FROM membership WHERE l_linenumber < 6) mm ON mm.article_id = m.article_id
@@ -303,7 +304,8 @@ VIEW_COLUMNS = "article_id, event_id, title, tags, final_score, status, is_main,
 
 
 def _plain(df: DataFrame) -> DataFrame:
-    return df.select("article_id", "event_id", "title", F.array_join("tags", ",").alias("tags"), "final_score", "status", "is_main", "source_count", "event_selected")
+    return df.select("article_id", "event_id", "title", F.array_join("tags", ",").alias("tags"), "final_score", "status", "is_main", "source_count",
+                     F.coalesce(F.col("event_selected").cast("string"), F.lit("none")).alias("event_selected"))
 
 
 @query("all_events_view", f"{VIEW_SQL} SELECT {VIEW_COLUMNS} FROM view WHERE NOT ov_hidden AND NOT ev_hidden")
@@ -312,7 +314,7 @@ def all_events_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("selected_semi_join", f"""{VIEW_SQL} SELECT {VIEW_COLUMNS} FROM view WHERE NOT ov_hidden AND NOT ev_hidden
-AND CASE WHEN member_of IS NOT NULL THEN event_selected ELSE status = 'processed' END""")
+AND CASE WHEN member_of IS NOT NULL THEN chosen_event ELSE status = 'processed' END""")
 def selected_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(_view(spark, sf, selected_only=True))
 
@@ -327,7 +329,7 @@ def admin_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("selected_feed", f"""{VIEW_SQL} SELECT article_id, event_id, source_count FROM view
-WHERE NOT ov_hidden AND NOT ev_hidden AND is_main AND coalesce(event_selected, status = 'processed')
+WHERE NOT ov_hidden AND NOT ev_hidden AND is_main AND coalesce(chosen_event, status = 'processed')
 ORDER BY published_at DESC, final_score DESC, source_count DESC, article_id LIMIT 50 OFFSET 10""")
 def selected_feed(spark: SparkSession, sf: str) -> DataFrame:
     rows = _view(spark, sf, selected_only=True).where("is_main")
@@ -522,11 +524,11 @@ USAGE_SQL = """, usage AS (SELECT ts, 'm' || (event_id % 3) AS model, source_key
   article_id % 100 AS cache_hit_tokens, coalesce(score_cents, 0) + 1 AS cache_miss_tokens, article_id % 7 AS completion_tokens, article_id % 3 AS reasoning_tokens FROM reports)"""
 
 
-@query("usage_by_day", f"""{USAGE_SQL} SELECT {DAY.format('ts')} AS day, model, operation, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+@query("usage_by_day", f"""{USAGE_SQL} SELECT strftime({DAY.format('ts')}, '%Y-%m-%d') AS day, model, operation, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
   CAST(sum(cache_hit_tokens) AS BIGINT) AS cache_hit_tokens, CAST(sum(cache_miss_tokens) AS BIGINT) AS cache_miss_tokens,
   CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(reasoning_tokens) AS BIGINT) AS reasoning_tokens FROM usage GROUP BY ALL""")
 def usage_by_day(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.usage_by_day(_usage(spark, sf))
+    return ledger.usage_by_day(_usage(spark, sf)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("usage_cost", f"""{USAGE_SQL} SELECT model, operation, count(*) AS calls,
@@ -622,11 +624,11 @@ DAILY_SQL = f""", daily AS (SELECT CAST(event_id AS VARCHAR) AS event_id, {DAY.f
   article_id % 4 AS source_count, source_key AS title FROM reports)"""
 
 
-@query("daily_two_tier", f"""{DAILY_SQL} SELECT report_date, pos, row_number() OVER (PARTITION BY report_date ORDER BY source_count > 1 DESC, final_score DESC NULLS LAST, event_id, pos) AS slot FROM daily""")
+@query("daily_two_tier", f"""{DAILY_SQL} SELECT strftime(report_date, '%Y-%m-%d') AS report_date, pos, row_number() OVER (PARTITION BY report_date ORDER BY source_count > 1 DESC, final_score DESC NULLS LAST, event_id, pos) AS slot FROM daily""")
 def daily_two_tier(spark: SparkSession, sf: str) -> DataFrame:
     rows = _daily(spark, sf).withColumn("event_id", F.concat("event_id", F.lit("")))
     order = Window.partitionBy("report_date").orderBy((F.col("source_count") > 1).desc(), F.desc("final_score"), "event_id", "pos")
-    return rows.select("report_date", "pos", F.row_number().over(order).cast("long").alias("slot"))
+    return rows.select(F.col("report_date").cast("string").alias("report_date"), "pos", F.row_number().over(order).cast("long").alias("slot"))
 
 
 @query("merge_dailies", f"""{DAILY_SQL} SELECT event_id, arg_max(title, (report_date, pos)) AS title, arg_max(final_score, (report_date, pos)) AS final_score,
@@ -685,12 +687,12 @@ def promote_after_delete(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.promote_after_delete(m, m.where("article_id % 3 = 0")).select("event_id", "article_id", "is_main")
 
 
-@query("manual_entries", """SELECT report_date, mx + row_number() OVER (PARTITION BY report_date ORDER BY published_at, event_id) AS position, event_id FROM (
+@query("manual_entries", """SELECT strftime(report_date, '%Y-%m-%d') AS report_date, mx + row_number() OVER (PARTITION BY report_date ORDER BY published_at, event_id) AS position, event_id FROM (
   SELECT o_orderdate::DATE AS report_date, o_orderkey AS event_id, o_totalprice AS published_at, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE -1 END) OVER (PARTITION BY o_orderdate::DATE) AS mx, o_orderkey % 2 AS z FROM orders) WHERE z = 1""", bound=False)
 def manual_entries(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("report_date"), F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("published_at"))
     entries = o.where("event_id % 2 = 0").select("report_date", "event_id", F.col("event_id").alias("position"))
-    return upsert.manual_entries(entries, o).select("report_date", F.col("position").cast("long").alias("position"), "event_id")
+    return upsert.manual_entries(entries, o).select(F.col("report_date").cast("string").alias("report_date"), F.col("position").cast("long").alias("position"), "event_id")
 
 
 @query("stream_replay")
