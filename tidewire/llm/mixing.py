@@ -62,7 +62,8 @@ def source_targets(sizes: DataFrame, *, cycle=CYCLE, share=SHARE, cap=CAP) -> Da
         .withColumn("spent", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("own_level", (F.col("total") - F.col("full")) / (F.col("weights") - F.col("spent")))
         .withColumn("open", F.col("own_level") < F.col("ratio"))
-        .withColumn("level", F.min(F.when(F.col("open"), F.struct("ratio", "own_level"))).over(everything))
+        .withColumn("place", F.row_number().over(by_cap))
+        .withColumn("level", F.min(F.when(F.col("open"), F.struct("place", "own_level"))).over(everything))
     )
     return level.select(
         "source",

@@ -87,12 +87,13 @@ WITH sized AS (
          sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(weight) OVER () AS weights
   FROM weighed
 ), levels AS (
-  SELECT *, (total - coalesce(sum(most) OVER before, 0.0::DOUBLE))
+  SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS place,
+         (total - coalesce(sum(most) OVER before, 0.0::DOUBLE))
             / (weights - coalesce(sum(weight) OVER before, 0.0::DOUBLE)) AS own_level
   FROM caps
   WINDOW before AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), level AS (
-  SELECT arg_min(own_level, ratio) AS level FROM levels WHERE own_level < ratio
+  SELECT arg_min(own_level, place) AS level FROM levels WHERE own_level < ratio
 ), targets AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, weight * level) END AS target
   FROM levels, level
