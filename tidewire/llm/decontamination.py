@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import work_folder, written
+from .storage import bounded_batches, work_folder, written
 from .textkernel import U64, gram_hashes, mix64, raw_texts, word_hashes
 
 SPAN = 10
@@ -164,6 +164,7 @@ _FOUND = "n_words long, spans array<int>, items array<string>"
 
 def _scan(docs: DataFrame, index: BenchmarkIndex | None, keys: list[str]) -> DataFrame:
     """``keys`` of docs with word count, hit spans and items found."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # at most BLOCK_WORDS words
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from .storage import work_folder, written
+from .storage import bounded_batches, work_folder, written
 
 LINE_WORDS = 5
 SENTENCE_WORDS = 8
@@ -91,6 +91,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """One row for each removed unit: doc_id, start, stop, unit, first_doc_id."""
+    bounded_batches(docs.sparkSession)
     folder = work_folder(docs.sparkSession, "units")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import get_bytes, mapped, put_file, work_folder
+from .storage import bounded_batches, get_bytes, mapped, put_file, work_folder
 from .textkernel import raw_texts
 
 NULL_ID = -(2**63)
@@ -158,6 +158,7 @@ def write_token_files(
     text: str = "text",
 ) -> dict:
     """Encode ``docs`` into a token store at ``folder``; return its manifest."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
     tie: Column = F.xxhash64("t")
     ranged = rows.repartitionByRange(F.col("d").asc_nulls_first(), tie).sortWithinPartitions(

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
+from .storage import bounded_batches
 from .textkernel import MULT, U64, mix64, raw_texts
 
 ROWS_PER_CLASS = 1500
@@ -198,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, **options):
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted."""
+    bounded_batches(docs.sparkSession)
     table, bias = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast((table, bias))  # 2**BUCKET_BITS floats
 
