@@ -701,3 +701,6 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.reports(spark, sf)
     return rows.groupBy(F.window("ts", "1 day", startTime="16 hours").alias("w"), "event_id").agg(F.count(F.lit(1)).alias("reports")).select(
         F.unix_micros("w.start").alias("day_start"), "event_id", "reports")
+
+
+from tidewire.plans import more  # noqa: E402,F401  registers its queries here too
