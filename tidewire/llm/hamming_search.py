@@ -6,6 +6,10 @@ r from its own.  A code that no probe up to r has met differs by more than r
 bits in each of the m segments, so by at least ``m * (r + 1)`` bits in all; a
 query is done once its k-th verified distance is below that.
 
+Before the first round each query gets an upper bound of that distance from a
+bounded sample of codes: the k-th distance among some codes is never below
+the one among all.  Candidates beyond the bound end inside the join.
+
 Rows with equal codes are one entry that keeps its ``k + 1`` smallest ids, so
 neither the probes nor the candidates grow with the number of copies.  A
 candidate counts only in the round and segment where it is nearest, so none
@@ -36,6 +40,8 @@ TOP_K = 10
 BITS = 64
 QUERY_EVERY = 50
 SCAN_QUERIES = 4096
+SAMPLE_CODES = 4096
+BUCKET_BITS = 5
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -47,8 +53,8 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
 
 
 def segment_bits(codes: int, bits: int = BITS) -> int:
-    """Width of a segment: about log2 of the number of codes."""
-    return max(8, min(bits, 24, round(log2(max(codes, 2)))))
+    """Width of a segment: buckets of about ``2 ** BUCKET_BITS`` codes."""
+    return max(8, min(bits, 24, round(log2(max(codes, 2))) - BUCKET_BITS))
 
 
 def _segments(bits: int, width: int) -> list[tuple[int, int]]:
@@ -75,6 +81,23 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _bounded(codes: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """Query codes with a bound of the distance of their k + 1 nearest rows."""
+    sample = entries.orderBy(F.xxhash64("code")).limit(SAMPLE_CODES).select("code", F.size("ids").alias("n")).toPandas()
+    known, copies = sample["code"].to_numpy(np.int64).view(np.uint64), sample["n"].to_numpy(np.int64)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for q in batch.column(0).to_numpy().view(np.uint64):
+                d = np.bitwise_count(known ^ q).astype(np.int64)
+                upto = np.cumsum(np.bincount(d, copies, minlength=65))
+                out.append(int(np.searchsorted(upto, k + 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["qcode", "bound"])
+
+    return codes.mapInArrow(bound, "qcode long, bound long")
+
+
 def _scan(entries: DataFrame, block: np.ndarray, k: int) -> DataFrame:
     """All entries against one block of query codes, k + 1 nearest of each task."""
 
@@ -120,7 +143,7 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = TOP_K, bits: int = BI
         .distinct(),
         f"{folder}/asked",
     )
-    open_codes = written(asked.select("qcode").distinct(), f"{folder}/open-0")
+    open_codes = written(_bounded(asked.select("qcode").distinct(), entries, k), f"{folder}/open-0")
     index = entries.select("code", F.explode(F.array(*[
         F.struct(F.lit(s).alias("seg"), _part(F.col("code"), a, w).alias("value")) for s, (a, w) in enumerate(segments)
     ])).alias("x")).select("code", "x.seg", "x.value")
@@ -132,17 +155,18 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = TOP_K, bits: int = BI
         probes = sum(comb(w, radius) for _, w in segments)
         if probes > max(n, 256):
             break
-        probe = open_codes.select("qcode", F.explode(F.array(*[
+        probe = open_codes.select("qcode", "bound", F.explode(F.array(*[
             F.struct(
                 F.lit(s).alias("seg"),
                 _around(F.col("qcode"), a, w, radius).alias("values"),
             )
             for s, (a, w) in enumerate(segments) if radius <= w
-        ])).alias("x")).select("qcode", "x.seg", F.explode("x.values").alias("value"))
+        ])).alias("x")).select("qcode", "bound", "x.seg", F.explode("x.values").alias("value"))
         apart = F.col("qcode").bitwiseXOR(F.col("code"))
         nearest = F.array(*[F.bit_count(_part(apart, a, w)) for a, w in segments])
         met = (
             probe.join(index, ["seg", "value"])
+            .where(F.bit_count(apart) <= F.col("bound"))
             .where((F.array_min(nearest) == radius) & (F.array_position(nearest, F.array_min(nearest)) == F.col("seg") + 1))
             .select("qcode", "code", F.bit_count(apart).cast("long").alias("distance"))
         )
