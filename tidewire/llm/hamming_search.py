@@ -41,7 +41,7 @@ BITS = 64
 QUERY_EVERY = 50
 SCAN_QUERIES = 4096
 SAMPLE_CODES = 4096
-BUCKET_BITS = 5
+BUCKET_BITS = 6
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
