@@ -23,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
+from .storage import bounded_batches
 from .textkernel import MULT, U64, mix64, raw_texts
 
 ROWS_PER_LANGUAGE = 600
@@ -58,9 +60,11 @@ def slot_counts(text: bytes) -> np.ndarray:
 
 def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF vectors of unit length (zero rows stay zero)."""
-    rows = np.log1p(counts).astype(np.float32) * idf
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norm > 0, norm, 1)
+    rows = np.log1p(counts, dtype=np.float32)
+    rows *= idf
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    rows /= np.where(norm > 0, norm, np.float32(1))
+    return rows
 
 
 def spherical_means(rows: np.ndarray, k: int, *, rounds: int = 12) -> np.ndarray:
@@ -156,14 +160,18 @@ def fit(docs: DataFrame, **options) -> Model:
                 }
             )
 
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, **options).withColumn("doc_id", F.col("doc_id").cast("string"))
     found = rows.mapInArrow(count, "doc_id string, lang string, slots array<int>, counts array<int>").toArrow()
-    found = sorted(found.to_pylist(), key=lambda r: (r["lang"], r["doc_id"] or "", r["slots"]))
-    found = [r for r in found if r["slots"]]
-    counts = np.zeros((len(found), DIM), np.int32)
-    for i, r in enumerate(found):
-        counts[i, r["slots"]] = r["counts"]
-    return Model.fit(counts, [r["lang"] for r in found])
+    found = found.filter(pa.compute.greater(pa.compute.list_value_length(found["slots"]), 0))
+    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    counts = np.zeros((found.num_rows, DIM), np.int32)
+    sizes = pa.compute.list_value_length(found["slots"]).to_numpy()
+    owner = np.repeat(np.arange(found.num_rows), sizes)
+    counts[owner, pa.compute.list_flatten(found["slots"]).to_numpy()] = pa.compute.list_flatten(found["counts"]).to_numpy()
+    langs = found["lang"].to_pylist()
+    del found, owner
+    return Model.fit(counts, langs)
 
 
 def language_ids(docs: DataFrame, **options) -> DataFrame:
