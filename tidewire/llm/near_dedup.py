@@ -16,8 +16,9 @@ most ``MISS``.
 3. A bucket whose classes are all in one component needs no more.  Classes of
    the other buckets go through an exact prefix-filter join: rarest shingles
    first, two sets with similarity t share one of the first
-   ``n - ceil(t * n) + 1``.  Its pairs across components are confirmed
-   likewise.  So a link found by a shared bucket is never lost to the hubs.
+   ``n - ceil(t * n) + 1``, and what follows the first one that they share has
+   to hold the rest of their overlap.  Its pairs across components are
+   confirmed likewise.  So a link found by a shared bucket is never lost to the hubs.
 
 Texts travel only for classes with a candidate, once as a member and once as
 a hub; shingle sets are rebuilt where they are compared.
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .components import connected_components
-from .storage import mapped, put_file, work_folder, written
+from .storage import bounded_batches, mapped, put_file, work_folder, written
 from .textkernel import MULT, U64, jaccard_counts, mix64, raw_texts, shingle_set
 
 HALF = 2
@@ -186,10 +187,12 @@ def _prefixer(shingle: int, percent: int, uri: str):
                     rare = np.asarray(order[(own >> U64(64 - ORDER_BITS)).astype(np.int64)])
                     size = len(own) - ceil(len(own) * percent / 100) + 1
                     chosen.append(own[np.lexsort((own, rare))[:size]].view(np.int64))
-                owner = pa.array(np.repeat(np.arange(len(chosen)), [len(c) for c in chosen]))
+                sizes = [len(c) for c in chosen]
+                owner = pa.array(np.repeat(np.arange(len(chosen)), sizes))
+                place = np.concatenate([np.arange(size) for size in sizes])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i).take(owner) for i in range(3)), pa.array(np.concatenate(chosen))],
-                    names=["node", "n", "comp", "shingle"],
+                    [*(part.column(i).take(owner) for i in range(3)), pa.array(np.concatenate(chosen)), pa.array(place)],
+                    names=["node", "n", "comp", "shingle", "place"],
                 )
 
     return prefixes
@@ -203,6 +206,7 @@ def near_duplicates(
     ``percent`` is the similarity in hundredths at which texts are linked.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = work_folder(spark, "near")
     m = table_side(percent / 100, half=half, miss=miss)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
@@ -264,15 +268,18 @@ def near_duplicates(
         _rarity_order(rest, shingle, f"{folder}/rarity")
         prefixes = written(
             rest.mapInArrow(
-                _prefixer(shingle, percent, f"{folder}/rarity"), "node long, n long, comp long, shingle long"
+                _prefixer(shingle, percent, f"{folder}/rarity"), "node long, n long, comp long, shingle long, place long"
             ),
             f"{folder}/prefixes",
         )
-        other = prefixes.select(*[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp")], "shingle")
+        other = prefixes.select(*[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "place")], "shingle")
+        # At the first shingle that two sets share, nothing before it is common.
+        rest_fits = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+        both = F.col("n") + F.col("n2")
         pairs = (
             prefixes.join(other, "shingle")
             .where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
-                   & _sizes_fit(F.col("n"), F.col("n2"), percent))
+                   & _sizes_fit(F.col("n"), F.col("n2"), percent) & (rest_fits * (100 + percent) >= both * percent))
             .select(F.col("node").alias("src"), F.col("node2").alias("dst"))
             .distinct()
         )
