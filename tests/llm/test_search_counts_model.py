@@ -11,6 +11,7 @@ from tidewire.llm import hamming_search as H
 from tidewire.llm.decontamination import clean, contamination, items_digest, winnow
 from tidewire.llm.elias_fano import EliasFano, flat
 from tidewire.llm.language_model import language_model_scores
+from tidewire.llm.queries import op8_language_model
 from tidewire.llm.textkernel import word_hashes
 from tidewire.llm.token_rollup import TokenRollup, image, inserts, rollup_history
 
@@ -79,6 +80,26 @@ def test_language_model_against_counts(spark):
         assert r.score == pytest.approx(exact, abs=0.03 * len(own))
 
 
+@pytest.mark.parametrize("shard_rows", [2_000_000, 97])
+def test_query_keeps_pairs_seen_once(spark, tmp_path, monkeypatch, shard_rows):
+    monkeypatch.setattr("tidewire.llm.language_model.SHARD_ROWS", shard_rows)
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 500}" for _ in range(rng.randrange(16)))) for i in range(300)] + [(400, None), (401, "never-seen w2")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8_language_model(spark, str(tmp_path)).collect()}
+    tokens = {i: [*(t or "").split(), "\n"] for i, t in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    uni = Counter(w for i in train for w in tokens[i])
+    pairs = Counter(p for i in train for p in zip(["\n", *tokens[i]], tokens[i], strict=False))
+    degree, whole = Counter(u for u, _ in pairs), sum(uni.values()) + len(uni) + 1
+    base = lambda w: (uni[w] + 1) / whole
+    prob = lambda u, w: max(pairs[u, w] - 0.75, 0) / uni[u] + 0.75 * degree[u] / uni[u] * base(w) if u in uni else base(w)
+    assert sum(c == 1 for c in pairs.values()) > 400
+    for i, own in tokens.items():
+        exact = sum(math.log10(prob(u, w)) for u, w in zip(["\n", *own], own, strict=False))
+        assert got[i].score == pytest.approx(exact, abs=0.05 * len(own))
+
+
 def test_language_model_without_rows(spark):
     assert language_model_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -4,22 +4,26 @@ The model is a bigram model with interpolated absolute discounting over an
 add-one unigram model.  Its trie has two levels, in shards of bounded size in
 the shared folder:
 
-* ``words-k``: sorted word hashes, their training counts.  A word's id is its
-  place over all shards; shard bases are prefix sums.
+* ``words-k``: sorted word hashes, their training counts and prefix sums of
+  those.  A word's id is its place over all shards; shard bases are prefix sums.
 * ``trie-k``: the contexts that have kept successors (Elias-Fano), monotone
   pointers to their successors (Elias-Fano), back-off weights, and the
   successors themselves.  Successor ids restart in each context, so the last
   value before a context is added to them; the sum is one monotone Elias-Fano
-  sequence, and a search is relative to its context.  Smoothed log
-  probabilities and back-off weights are quantised to 8 bits, each shard with
-  its own code books.
+  sequence, and a search is relative to its context.  Logs of the discounted
+  shares and back-off weights are quantised to 8 bits, each shard with its own
+  code books.
 
 Every file is memory-mapped and read where it is needed; the driver holds one
 line for each shard.  Counts cover all learnable documents: partial counts of
 a task's texts are summed by key, so hot words and pairs meet pre-aggregated.
-A context may be split between shards; keys are routed by (context, word).
-Pairs seen once are not kept (``LEAST_PAIR``, the same at every size); their
-mass is in the back-off weight.
+Pairs are dealt to shards by where they fall among all training tokens when
+those are ordered by (context, word): the tokens before the context, and of its
+own the share that the smaller words have in the corpus.  So shards follow from
+the word counts alone and hold about as many tokens each.  A context may be
+split between shards; ``trie.json`` has the back-off weights of those.  Pairs
+seen less than ``least_pair`` times are left to the back-off weight; with 1,
+which the registered query takes, every pair is kept.
 
 Defined results: a null or empty text is one end token; words that were never
 seen have c = 0; without training rows every count is 0, N and V are 0 and
@@ -30,7 +34,9 @@ as often as they occur; extra columns are never read.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -49,6 +55,7 @@ FOLDS = 7
 HELD_OUT = 2
 DISCOUNT = 0.75
 LEAST_PAIR = 2
+OPEN_SHARDS = 512
 BATCH_TOKENS = 2_000_000
 SHARD_ROWS = 2_000_000
 #: A line feed is never inside a word, so this hash is the end token's own.
@@ -107,7 +114,8 @@ def _word_writer(folder: str):
         words = (np.concatenate([p[0] for p in parts]) ^ np.int64(-(2**63))).view(U64)
         counts = np.concatenate([p[1] for p in parts])
         k = TaskContext.get().partitionId()
-        write_pack(f"{folder}/words-{k}", {"words": words, "counts": counts})
+        starts = np.cumsum(counts) - counts
+        write_pack(f"{folder}/words-{k}", {"words": words, "counts": counts, "starts": starts})
         yield pa.RecordBatch.from_pydict(
             {"k": [k], "first": [int(words[0]).to_bytes(8, "big").hex()], "n": [len(words)], "total": [int(counts.sum())]}
         )
@@ -127,6 +135,8 @@ class Vocabulary:
         packs = [open_pack(f"{folder}/words-{s['k']}") for s in shards]
         self.words = [p["words"] for p in packs]
         self.counts = [p["counts"] for p in packs]
+        self.starts = [p["starts"] for p in packs]
+        self.before = [s["before"] for s in shards]
 
     def find(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1 if unseen) and counts of sorted distinct hashes."""
@@ -149,29 +159,38 @@ class Vocabulary:
 
     def count_of(self, ids: np.ndarray) -> np.ndarray:
         """Counts by id."""
+        return self._by_id(self.counts, [0] * len(self.counts), ids)
+
+    def start_of(self, ids: np.ndarray) -> np.ndarray:
+        """Training tokens with a smaller id, by id."""
+        return self._by_id(self.starts, self.before, ids)
+
+    def _by_id(self, arrays: list[np.ndarray], plus: list[int], ids: np.ndarray) -> np.ndarray:
         shard = np.searchsorted(self.base, ids, side="right") - 1
         out = np.empty(len(ids), np.int64)
         for k in np.unique(shard):
             own = shard == k
-            out[own] = self.counts[k][ids[own] - self.base[k]]
+            out[own] = arrays[k][ids[own] - self.base[k]] + plus[k]
         return out
 
 
-def _pair_counter(folder: str):
+def _pair_counter(folder: str, shard_rows: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(folder)
         for hashes, sizes in _token_runs(batches):
             distinct, place = np.unique(hashes, return_inverse=True)
             ids, counts = words.find(distinct)
-            frequent = counts >= LEAST_PAIR  # a pair is no more frequent than its words
+            starts = words.start_of(ids)
             end = int(np.searchsorted(distinct, U64(END)))
             before = np.empty_like(place)
             before[1:] = place[:-1]
             before[np.cumsum(sizes) - sizes] = end
-            kept = frequent[before] & frequent[place]
-            keys, n = np.unique((before[kept].astype(np.int64) << 32) | place[kept], return_counts=True)
+            keys, n = np.unique((before.astype(np.int64) << 32) | place, return_counts=True)
+            u, w = keys >> 32, keys & 0xFFFFFFFF
+            inside = np.minimum((counts[u] * (starts[w] / words.tokens)).astype(np.int64), counts[u] - 1)
+            k = ((starts[u] + inside) // shard_rows).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[keys >> 32]), pa.array(ids[keys & 0xFFFFFFFF]), pa.array(n)], names=["u", "w", "c"]
+                [pa.array(k), pa.array(ids[u]), pa.array(ids[w]), pa.array(n)], names=["k", "u", "w", "c"]
             )
 
     return count
@@ -187,31 +206,47 @@ def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.bincount(codes, values, 256) / np.maximum(n, 1)
 
 
-def _trie_writer(folder: str):
+def _trie_writer(folder: str, least_pair: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy() for i in range(5)] for b in batches]
+        parts = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
         if not parts:
             return
-        u, w, c, kept, n_kept = (np.concatenate([p[i] for p in parts]) for i in range(5))
         words = Vocabulary(folder)
+        k, u, w, c = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        del parts
+        span = U64(words.size)
+        keys = u.astype(U64) * span + w.astype(U64)
+        order = np.argsort(keys)  # the shard never falls as the key rises
+        keys, k, c = keys[order], k[order], c[order]
+        del u, w, order
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, k, c = keys[first], k[first], np.add.reduceat(c, first)
+        kept = c >= least_pair
+        keys, k, c = keys[kept], k[kept], c[kept]
+        for shard in np.unique(k).tolist():
+            own = k == shard
+            u, w = (keys[own] // span).astype(np.int64), (keys[own] % span).astype(np.int64)
+            yield write_shard(words, shard, u, w, c[own])
+
+    def write_shard(words: Vocabulary, k: int, u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         contexts, starts = np.unique(u, return_index=True)
         seen = words.count_of(contexts)
-        backoff = 1 - (kept[starts] - DISCOUNT * n_kept[starts]) / seen
-        owner = np.repeat(np.arange(len(contexts)), np.diff(np.append(starts, len(u))))
-        uniform = (words.count_of(w) + 1) / (words.tokens + words.size + 1)
-        codes, book = _codes(np.log10((c - DISCOUNT) / seen[owner] + backoff[owner] * uniform))
-        bow_codes, bow_book = _codes(np.log10(np.maximum(backoff, 1e-12)))
+        sizes = np.diff(np.append(starts, len(u)))
+        mass = np.add.reduceat(c, starts) - DISCOUNT * sizes
+        owner = np.repeat(np.arange(len(contexts)), sizes)
+        codes, book = _codes(np.log10((c - DISCOUNT) / seen[owner]))
+        bow_codes, bow_book = _codes(np.log10(np.maximum(1 - mass / seen, 1e-12)))
         ends = np.append(starts[1:], len(u)) - 1
         bases = np.concatenate([[0], np.cumsum(w[ends] + 1)])
-        k = TaskContext.get().partitionId()
         pack = {"codes": codes, "book": book, "bow_codes": bow_codes, "bow_book": bow_book}
         pack |= flat("contexts", EliasFano.encode(contexts))
         pack |= flat("pointers", EliasFano.encode(np.append(starts, len(u))))
         pack |= flat("bases", EliasFano.encode(bases))
         pack |= flat("successors", EliasFano.encode(bases[owner] + w))
         write_pack(f"{folder}/trie-{k}", pack)
-        yield pa.RecordBatch.from_pydict(
-            {"k": [k], "u": [int(u[0])], "w": [int(w[0])], "last": [int(u[-1])], "n": [len(u)]}
+        return pa.RecordBatch.from_pydict(
+            {"k": [k], "u": [int(u[0])], "w": [int(w[0])], "last": [int(u[-1])], "n": [len(u)],
+             "mass": [float(mass[0])], "last_mass": [float(mass[-1])], "last_seen": [int(seen[-1])]}
         )
 
     return write
@@ -229,7 +264,7 @@ class TrieShard:
         )
 
     def look_up(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability (NaN where backed off) and log back-off weight."""
+        """Log discounted share (NaN where not kept) and log back-off weight."""
         logp, bow = np.full(len(u), np.nan), np.zeros(len(u))
         distinct, place = np.unique(u, return_inverse=True)
         at = self.contexts.successors(distinct)
@@ -258,8 +293,11 @@ class Trie:
         self.words = Vocabulary(folder)
         about = json.loads(get_bytes(f"{folder}/trie.json"))
         self.span = max(1, self.words.size)
-        self.first = np.array([s["u"] * self.span + s["w"] for s in about], U64)
-        self.shards = [TrieShard(f"{folder}/trie-{s['k']}") for s in about]
+        shards, split = about["shards"], about["split"]
+        self.first = np.array([s["u"] * self.span + s["w"] for s in shards], U64)
+        self.shard = lru_cache(OPEN_SHARDS)(lambda k: TrieShard(f"{folder}/trie-{shards[k]['k']}"))
+        self.split = np.array([s["u"] for s in split], np.int64)
+        self.split_bow = np.array([s["bow"] for s in split])
 
     def look_up(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         logp, bow = np.full(len(u), np.nan), np.zeros(len(u))
@@ -267,11 +305,14 @@ class Trie:
         shard = np.searchsorted(self.first, keys, side="right") - 1
         for k in np.unique(shard[(shard >= 0) & (u >= 0)]):
             rows = np.flatnonzero((shard == k) & (u >= 0))
-            logp[rows], bow[rows] = self.shards[k].look_up(u[rows], w[rows])
+            logp[rows], bow[rows] = self.shard(int(k)).look_up(u[rows], w[rows])
+        if len(self.split):
+            at = np.minimum(np.searchsorted(self.split, u), len(self.split) - 1)
+            bow = np.where(self.split[at] == u, self.split_bow[at], bow)
         return logp, bow
 
 
-def train(docs: DataFrame, folder: str) -> None:
+def train(docs: DataFrame, folder: str, *, least_pair: int = LEAST_PAIR) -> None:
     """Count the learnable documents and write the two levels at ``folder``."""
     texts = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select(F.col("text").cast("string").alias("text"))
     counts = written(
@@ -283,30 +324,32 @@ def train(docs: DataFrame, folder: str) -> None:
         .mapInArrow(_word_writer(folder), "k long, first string, n long, total long").collect()
     )  # one row for each shard
     bases = list(accumulate((r.n for r in rows), initial=0))
+    before = list(accumulate((r.total for r in rows), initial=0))
     about = {
-        "tokens": sum(r.total for r in rows),
+        "tokens": before[-1],
         "words": bases[-1],
-        "shards": [{"k": r.k, "first": r.first, "base": b} for r, b in zip(rows, bases, strict=False)],
+        "shards": [
+            {"k": r.k, "first": r.first, "base": b, "before": n} for r, b, n in zip(rows, bases, before, strict=False)
+        ],
     }
     put_file(f"{folder}/words.json", [json.dumps(about).encode()])
-    pairs = (
-        texts.mapInArrow(_pair_counter(folder), "u long, w long, c long")
-        .groupBy("u", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST_PAIR)
-    )
-    kept = written(pairs, f"{folder}/pairs")
-    sums = kept.groupBy("u").agg(F.sum("c").alias("kept"), F.count(F.lit(1)).alias("n_kept"))
-    shards = max(1, -(-kept.count() // SHARD_ROWS))
-    made = (
-        kept.join(written(sums, f"{folder}/sums"), "u").select("u", "w", "c", "kept", "n_kept")
-        .repartitionByRange(shards, "u", "w").sortWithinPartitions("u", "w")
-        .mapInArrow(_trie_writer(folder), "k long, u long, w long, last long, n long").collect()
+    shards = max(1, -(-before[-1] // SHARD_ROWS))
+    made = sorted(
+        texts.mapInArrow(_pair_counter(folder, SHARD_ROWS), "k int, u long, w long, c long").repartitionById(shards, "k")
+        .mapInArrow(
+            _trie_writer(folder, least_pair),
+            "k long, u long, w long, last long, n long, mass double, last_mass double, last_seen long",
+        ).collect()
     )  # one row for each shard
-    made = sorted(made)
-    tries = []
+    tries, mass, seen = [], {}, {}
     for i, r in enumerate(made):
         split = i > 0 and made[i - 1].last == r.u
         tries.append({"k": r.k, "u": r.u, "w": r.w if split else 0, "n": r.n})
-    put_file(f"{folder}/trie.json", [json.dumps(tries).encode()])
+        if split:
+            mass[r.u] = mass.get(r.u, made[i - 1].last_mass) + r.mass
+            seen[r.u] = made[i - 1].last_seen
+    weights = [{"u": u, "bow": math.log10(max(1 - mass[u] / seen[u], 1e-12))} for u in sorted(mass)]
+    put_file(f"{folder}/trie.json", [json.dumps({"shards": tries, "split": weights}).encode()])
 
 
 _tries: dict[str, Trie] = {}
@@ -333,7 +376,7 @@ def _scorer(folder: str):
             order = np.lexsort((ids[w], ids[u]))
             logp, bow = np.empty(len(keys)), np.empty(len(keys))
             logp[order], bow[order] = trie.look_up(ids[u[order]], ids[w[order]])
-            logp = np.where(np.isnan(logp), bow + uniform[w], logp)
+            logp = np.log10(np.where(np.isnan(logp), 0, 10**logp) + 10 ** (bow + uniform[w]))
             owner = np.repeat(np.arange(len(sizes)), sizes)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
@@ -351,11 +394,11 @@ def _scorer(folder: str):
     return score
 
 
-def language_model_scores(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def language_model_scores(docs: DataFrame, folder: str | None = None, *, least_pair: int = LEAST_PAIR) -> DataFrame:
     """Train on the learnable documents, then score every document."""
     bounded_batches(docs.sparkSession)
     folder = folder or work_folder(docs.sparkSession, "lm")
-    train(docs, folder)
+    train(docs, folder, least_pair=least_pair)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         _scorer(folder),

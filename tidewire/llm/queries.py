@@ -48,7 +48,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model_scores(table(spark, sf_dir, "documents"))
+    return language_model_scores(table(spark, sf_dir, "documents"), least_pair=1)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
