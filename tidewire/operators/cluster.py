@@ -42,15 +42,25 @@ def similar_pairs(vectors: DataFrame, *, threshold: float, span_hours: float | N
     )
 
 
-def nearest_events(articles: DataFrame, members: DataFrame, *, threshold: float, k: int = 1) -> DataFrame:
+def nearest_events(articles: DataFrame, members: DataFrame, *, threshold: float, k: int = 1, span_hours: float | None = None) -> DataFrame:
     """Per article the events whose least similar member is similar enough.
 
-    ``articles``: article_id, vec; ``members``: event_id, member_id, vec.  The
-    events are the recent ones, a table that the caller bounds by time.
+    ``articles``: article_id, vec; ``members``: event_id, member_id, vec.  With
+    a span both have ts as well, and an article meets the members within the
+    span alone, through neighbouring time bands; without one it meets every
+    member, for a table of recent events that the caller bounds by time.
     """
-    a = articles.select("article_id", "vec", norm(F.col("vec")).alias("norm"))
-    m = members.select("event_id", "member_id", F.col("vec").alias("mvec"), norm(F.col("vec")).alias("mnorm"))
-    scored = a.join(m, F.col("article_id") != F.col("member_id")).withColumn(
+    a = articles.select("article_id", "vec", norm(F.col("vec")).alias("norm"), *(["ts"] if span_hours else []))
+    m = members.select("event_id", "member_id", F.col("vec").alias("mvec"), norm(F.col("vec")).alias("mnorm"),
+                       *([F.col("ts").alias("mts")] if span_hours else []))
+    on = F.col("article_id") != F.col("member_id")
+    if span_hours:
+        seconds = int(span_hours * 3600)
+        band = F.floor(F.unix_timestamp("mts") / seconds)
+        a = a.withColumn("band", F.floor(F.unix_timestamp("ts") / seconds))
+        m = m.withColumn("mband", F.explode(F.array(band - 1, band, band + 1)))
+        on &= (F.col("band") == F.col("mband")) & (F.abs(F.unix_micros("ts") - F.unix_micros("mts")) <= seconds * 10**6)
+    scored = a.join(m, on).withColumn(
         "similarity", cosine(F.col("vec"), F.col("mvec"), F.col("norm"), F.col("mnorm")))
     links = scored.groupBy("article_id", "event_id").agg(F.min("similarity").alias("weakest")).where(F.col("weakest") >= threshold)
     order = Window.partitionBy("article_id").orderBy(F.desc("weakest"), F.desc("event_id"))

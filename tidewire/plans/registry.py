@@ -423,10 +423,22 @@ def nearest_events(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.nearest_events(articles, _members(spark, sf), threshold=0.05).select("article_id", "event_id")
 
 
+@query("nearest_recent_events", """
+SELECT article_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY weakest DESC, event_id DESC) AS p FROM (
+  SELECT a.vec_id AS article_id, m.label AS event_id, min(list_cosine_similarity(a.embedding::DOUBLE[], m.embedding::DOUBLE[])) AS weakest
+  FROM embeddings a JOIN embeddings m ON a.vec_id <> m.vec_id AND abs(a.vec_id - m.vec_id) * 37 <= 24 * 60 GROUP BY ALL) WHERE weakest >= 0.05) WHERE p = 1""", bound=False)
+def nearest_recent_events(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    members = v.select("event_id", F.col("id").alias("member_id"), "vec", "ts")
+    articles = v.select(F.col("id").alias("article_id"), "vec", "ts")
+    return cluster.nearest_events(articles, members, threshold=0.05, span_hours=cluster.SPAN_HOURS).select("article_id", "event_id")
+
+
 @query("centroid_recall")
 def centroid_recall(spark: SparkSession, sf: str) -> DataFrame:
-    articles = _vectors(spark, sf).select(F.col("id").alias("article_id"), "vec")
-    return cluster.centroid_recall(articles, cluster.centroids(_members(spark, sf)), floor=0.2).select("article_id", "event_id", "place")
+    v = _vectors(spark, sf)
+    articles = v.select(F.col("id").alias("article_id"), "vec")
+    return cluster.centroid_recall(articles, cluster.centroids(v.select("event_id", "vec")), floor=0.2).select("article_id", "event_id", "place")
 
 
 @query("reference_matches", """
