@@ -90,3 +90,44 @@ def test_repeated_units_keep_the_first(spark):
     clean = {r.doc_id: r.clean_text for r in without_repeats(df.select("doc_id", "text")).collect()}
     assert clean[1] == texts[1] and clean[3] == "Own words here, quite unlike others.\n\nshort line" and clean[8] is None
     assert repeated_units(df.limit(0)).count() == 0
+
+
+SHORT = ["Sit down now.", "We wait here!", "Who is that?", "Nobody knows it.", "Close the door.", "It is late.", "Go to sleep.", "See you soon."]
+HAN = "今天的天气非常好我们一起去公园散步吧"
+
+
+def test_short_sentences_lines_and_unspaced_scripts_are_found(spark):
+    sentence = "One sentence that stands alone on its line here."
+    passage, lines = " ".join(SHORT), "\n".join(SHORT)
+    rows = [
+        (1, f"Alpha. {passage} Omega."), (2, f"Beta begins. {passage} Another end."), (3, f"Gamma.\n{lines}\nLast."),
+        (4, sentence), (5, f"Before it came this. {sentence} And this after it."),
+        (6, f"一。{HAN}。二。"), (7, f"三\n{HAN}。\n四"), (8, HAN * 3), (9, f"五\n{HAN * 3}"), (10, " ".join(SHORT[:3])), (11, " ".join(SHORT[:3])),
+    ]
+    got = {r.doc_id: r.clean_text for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(got[i] == texts[i] for i in (1, 4, 6, 8, 10))
+    assert got[2].split() == "Beta begins. Another end.".split() and got[3].split() == ["Gamma.", "Last."]
+    assert got[5].split() == "Before it came this. And this after it.".split()
+    assert got[7].split() == ["三", "四"] and got[9].split() == ["五"] and got[11] == ""
+
+
+def test_first_occurrence_of_every_sentence_stays(spark):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choices(VOCABULARY, k=rng.choice([1, 2, 3, 5, 9, 20]))) + "." for _ in range(60)]
+    rows = []
+    for i in range(80):
+        a, own = rng.randrange(50), [f"Own{i} {j}." for j in range(6)]
+        block = pool[a : a + rng.randrange(2, 12)]
+        parts = own[:3] + block + own[3:]
+        rows.append((i, "".join(p + rng.choice([" ", "\n"]) for p in parts), block))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in without_repeats(df).collect()}
+    left = " ".join(" ".join(got[i].split()) for i, _, _ in rows)
+    assert all(s in left for _, _, block in rows for s in block)
+    for i, _, block in rows:
+        assert all(f"Own{i} {j}." in got[i] for j in range(6))
+        for _, _, other in rows[:i]:
+            shared = [s for s in block if s in other]
+            if sum(len(s.split()) for s in shared) >= 16:
+                assert not any(f" {s} " in f" {' '.join(got[i].split())} " for s in shared)

@@ -1,15 +1,21 @@
 """Substring dedup by line and sentence hashing.
 
-Units are the lines of a text and, in lines of more than one sentence, its
-sentences, so that a passage pasted into the middle of a line is found too.  A
-unit is normalised (lower case, white space collapsed), hashed to 128 bits and
-grouped over all documents.  The occurrence with the smallest document id
-stays, within a document the first one; all others are removed, and the
-result keeps their offsets in the original text.  A sentence is reported only
-where its line stays.
-
-Units with fewer words than ``LINE_WORDS`` or ``SENTENCE_WORDS`` are ordinary
-language and never removed.  Digests are summed by key before they meet, and
+Units are the lines of a text, its sentences (a line's end ends a sentence),
+and runs of sentences for what is short: the shortest run of ``RUN_WORDS`` or
+more that starts at a sentence and the shortest that ends there, across lines.
+Only runs with a short sentence are units, as long sentences are units alone.
+So a repeated passage of whole sentences goes as a whole from ``RUN_WORDS`` on,
+wherever it is pasted: a short sentence of it ends a run inside the passage, or
+one from the passage's start covers it.  A unit is normalised (lower case,
+white space collapsed), hashed to 128 bits and grouped over all documents; one
+sentence and a run of the same words have the same digest.  The occurrence with
+the smallest document id stays, within a document the first one; all others are
+removed, and the result keeps their offsets in the original text.  Sentences
+and runs are reported only where their line stays; runs may overlap.
+
+Lengths are in words; scripts that don't space words count two letters as one,
+and any text 16 characters as one at least.  Lines, sentences and runs that
+are shorter than their bound are ordinary language and never removed.  Digests are summed by key before they meet, and
 the join that finds the removed occurrences has plain exchanges on both sides,
 so adaptive execution splits a line that a third of all documents carry.
 
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +40,11 @@ from .storage import bounded_batches, work_folder, written
 
 LINE_WORDS = 5
 SENTENCE_WORDS = 8
-_SENTENCE_END = re.compile(r"[.!?]+\s+")
+RUN_WORDS = 16
+LINE, SENTENCE, RUN = range(3)
+_SENTENCE_END = re.compile(r"[.!?]+\s+|[。！？｡]+\s*")
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _SIGN = 1 << 63
 _WRAP = 1 << 64
 
@@ -42,30 +53,63 @@ def _signed(value: int) -> int:
     return value - _WRAP if value >= _SIGN else value
 
 
-def units_of(text: str) -> list[tuple[int, int, bool, int, int, int]]:
-    """(start, end, is_line, line number, digest high, digest low) of each unit."""
-    found, start = [], 0
+def _size(words: list[str], joined: str) -> int:
+    """Length in words, also of text that has no spaces."""
+    n = max(len(words), len(joined) // 16)
+    return n if joined.isascii() else max(n, len(_UNSPACED.findall(joined)) // 2)
+
+
+def _digest(joined: str) -> tuple[int, int]:
+    digest = xxh3_128_intdigest(joined)
+    return _signed(digest >> 64), _signed(digest % _WRAP)
+
+
+def _runs(sentences: list[tuple[int, int, int, int, str]]) -> set[tuple[int, int]]:
+    """First and last sentence of each run that is a unit."""
+    sizes = [s[3] for s in sentences]
+    before = list(accumulate(sizes, initial=0))
+    short = list(accumulate((n < SENTENCE_WORDS for n in sizes), initial=0))
+    found, last, first = set(), 0, 0
+    for i, n in enumerate(sizes):
+        while last < len(sizes) and before[last + 1] - before[i] < RUN_WORDS:
+            last += 1
+        while before[i + 1] - before[first + 1] >= RUN_WORDS:
+            first += 1
+        if n < RUN_WORDS:
+            if last < len(sizes):
+                found.add((i, last))
+            if before[i + 1] - before[first] >= RUN_WORDS:
+                found.add((first, i))
+    return {(i, j) for i, j in found if short[j + 1] > short[i]}
+
+
+def units_of(text: str) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, kind, line number or -1, digest high, digest low) of each unit."""
+    found, sentences, start = [], [], 0
     for number, line in enumerate(text.split("\n")):
         words = line.lower().split()
-        if len(words) >= LINE_WORDS:
-            digest = xxh3_128_intdigest(" ".join(words))
-            found.append((start, start + len(line), True, number, _signed(digest >> 64), _signed(digest % _WRAP)))
-        if len(words) >= SENTENCE_WORDS:
-            cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
-            if len(cuts) > 2:
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    own = line[a:b].lower().split()
-                    if len(own) >= SENTENCE_WORDS:
-                        digest = xxh3_128_intdigest("s " + " ".join(own))
-                        b = a + len(line[a:b].rstrip())
-                        found.append(
-                            (start + a, start + b, False, number, _signed(digest >> 64), _signed(digest % _WRAP))
-                        )
+        joined = " ".join(words)
+        if _size(words, joined) >= LINE_WORDS:
+            found.append((start, start + len(line), LINE, number, *_digest(joined)))
+        cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = line[a:b].lower().split()
+            if own:
+                joined = " ".join(own)
+                stop = start + a + len(line[a:b].rstrip())
+                sentences.append((start + a, stop, number, _size(own, joined), joined))
         start += len(line) + 1
+    for a, b, number, size, joined in sentences:
+        if size >= SENTENCE_WORDS:
+            found.append((a, b, SENTENCE, number, *_digest("s " + joined)))
+    for i, j in sorted(_runs(sentences)):
+        line = sentences[i][2] if sentences[i][2] == sentences[j][2] else -1
+        joined = " ".join(s[4] for s in sentences[i : j + 1])
+        found.append((sentences[i][0], sentences[j][1], RUN, line, *_digest("s " + joined)))
     return found
 
 
-_UNITS = "start int, stop int, is_line boolean, line int, hi long, lo long, nth int"
+_UNITS = "start int, stop int, kind int, line int, hi long, lo long, nth int"
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,11 +125,11 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     owners.append(i)
                     for column, value in zip(columns, (*unit, nth), strict=True):
                         column.append(value)
-            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(owners, pa.int64())),
                  *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "start", "stop", "is_line", "line", "hi", "lo", "nth"],
+                names=["doc_id", "start", "stop", "kind", "line", "hi", "lo", "nth"],
             )
 
 
@@ -106,18 +150,18 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     removed = (
         units.join(again, ["hi", "lo"])
         .where((F.col("nth") > 0) | ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-        .select("doc_id", "line", "start", "stop", "is_line", "first_doc_id")
+        .select("doc_id", "line", "start", "stop", "kind", "first_doc_id")
     )
     removed = written(removed, f"{folder}/removed")
-    lines = removed.where("is_line").select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line")).distinct()
-    inside = removed.where("not is_line").join(
+    lines = removed.where(F.col("kind") == LINE).select(F.col("doc_id").alias("_doc"), F.col("line").alias("_line")).distinct()
+    inside = removed.where(F.col("kind") != LINE).join(
         lines, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("line") == F.col("_line")), "left_anti"
     )
-    return removed.where("is_line").unionByName(inside).select(
+    return removed.where(F.col("kind") == LINE).unionByName(inside).select(
         "doc_id",
         "start",
         "stop",
-        F.when(F.col("is_line"), "line").otherwise("sentence").alias("unit"),
+        F.when(F.col("kind") == LINE, "line").when(F.col("kind") == SENTENCE, "sentence").otherwise("run").alias("unit"),
         "first_doc_id",
     )
 
@@ -140,7 +184,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept, at = [], 0
                 for span in own or ():
                     kept.append(text[at : span["start"]])
-                    at = span["stop"]
+                    at = max(at, span["stop"])
                 out.append(None if text is None else "".join(kept) + text[at:])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())],
                                              names=[*batch.schema.names, "clean_text"])
