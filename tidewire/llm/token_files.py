@@ -22,7 +22,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -38,16 +37,30 @@ from .textkernel import raw_texts
 
 NULL_ID = -(2**63)
 END_ID = 1
-CACHED_WORDS = 700_000
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-
-
-class WordEncoder:
-    """Ids of whole texts by way of a bounded cache of space-separated words.
-
-    The tokenizer drops white space before it merges, so a text's ids are
-    those of its words in order.  Words of plain letters skip the normaliser:
-    they are composed and lower-cased here and go straight to the BPE model.
+CACHED_PIECES = 600_000
+#: Bytes of Latin-1 that this module cuts by itself: white space, visible ASCII, letters.
+_OWN = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+
+
+def _is_own(text: str) -> bool:
+    """Whether only own characters occur, and nothing that may be a special token."""
+    try:
+        return not text.encode("latin-1").translate(None, _OWN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+class Pieces:
+    """Ids of whole texts by way of a bounded cache of pieces.
+
+    The tokenizer drops white space and cuts a text by the vocabulary file's
+    own pattern before it merges, so a text's ids are those of its pieces in
+    order.  Texts of ASCII and Latin-1 letters are composed already; they are
+    lower-cased and cut here, and pieces that are not in the cache go through the
+    tokenizer in one call, whose word-end ids part them again.  In other texts
+    the words with other characters, and those that may hold a special token,
+    are entries of their own and go through the tokenizer one by one.  The cache
+    has two halves: when the young one is full, the old one is dropped.
     """
 
     def __init__(self, path: str):
@@ -55,58 +68,85 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        top = max(self.tokenizer.get_vocab().values())
-        self.dtype = np.dtype("<u2" if top < 2**16 else "<u4")
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 2**16 else "<u4")
         spec = json.loads(self.tokenizer.to_str())
-        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"]
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _PLAIN.fullmatch(text):
-            plain = unicodedata.normalize("NFC", text).lower().encode()
-            ids = [t.id for t in self.model.tokenize(_byte_letters(plain))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.cut = _split_pattern(spec) if suffix else None
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.young: dict[str | bytes, bytes] = {}
+        self.old: dict[str | bytes, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _keys(self, text: str) -> list[str | bytes]:
+        """The pieces of a text; odd words stand as bytes."""
+        if _is_own(text):
+            return self.cut(text.lower())
+        keys: list[str | bytes] = []
+        for word in text.encode().split():
+            own = word.decode()
+            if _is_own(own):
+                keys += self.cut(own.lower())
+            else:
+                keys.append(word)
+        return keys
+
+    def _learn(self, fresh: list[str | bytes]) -> None:
+        own = [p for p in fresh if isinstance(p, str)]
+        if own:
+            ids = self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(cuts) != len(own):
+                raise ValueError("the vocabulary doesn't end every piece with a word-end id")
+            flat = ids.tobytes()
+            self.young.update(zip(own, map(flat.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+        self.young.update((w, self._whole(w.decode())) for w in fresh if isinstance(w, bytes))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text in the file's byte form, without an end id."""
+        if self.cut is None:
+            return [self._whole(t.decode()) for t in texts]
+        if len(self.young) > CACHED_PIECES:
+            self.young, self.old = {}, self.young
+        keys = [self._keys(t.decode()) for t in texts]
+        known, old = self.young, self.old
+        missing = set().union(*keys).difference(known)
+        known.update((p, old[p]) for p in missing if p in old)
+        self._learn([p for p in missing if p not in old])
+        return [b"".join(map(known.__getitem__, own)) for own in keys]
 
     def encode(self, text: bytes) -> bytes:
-        """The ids of ``text`` in the file's byte form, without an end id."""
-        if not self.by_word:
-            ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
-            return np.array(ids, self.dtype).tobytes()
-        words, cache = text.split(), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
-            for word in words:
-                if word not in cache:
-                    cache[word] = self._ids(word)
-            return b"".join(map(cache.__getitem__, words))
-
-
-def _byte_letters(word: bytes) -> str:
-    """The byte-level alphabet: visible Latin-1 bytes stand for themselves."""
-    return word.decode("latin-1").translate(_HIDDEN)
+        return self.encode_all([text])[0]
 
 
-def _hidden_bytes() -> dict[int, int]:
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+def _split_pattern(spec: dict):
+    """The file's pre-tokenisation for ASCII and Latin-1 letters, None if unknown."""
+    normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"]:
+        return None
+    if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+        return None
+    if steps[0]["behavior"] != "Removed" or not steps[0]["invert"]:
+        return None
+    pattern = steps[0]["pattern"]["Regex"]
+    for name, own in ((r"\p{L}", "a-zà-öø-ÿß"), (r"\p{N}", "0-9")):
+        pattern = pattern.replace(f"[{name}]", f"[{own}]").replace(name, own)
+    return None if r"\p" in pattern else re.compile(pattern).findall
 
 
-_HIDDEN = _hidden_bytes()
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, Pieces] = {}
 
 
-def encoder_for(path: str) -> WordEncoder:
+def encoder_for(path: str) -> Pieces:
     """One encoder for each Python worker, kept between tasks."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = Pieces(path)
     return _encoders[path]
 
 
@@ -127,10 +167,10 @@ def _shard_writer(folder: str, tokenizer: str):
                 for start in range(0, batch.num_rows, 256):
                     part = batch.slice(start, 256)
                     ids.extend(NULL_ID if d is None else d for d in part.column(0).to_pylist())
-                    for text in raw_texts(part.column(1)):
-                        own = encoder.encode(text or b"") + end
-                        sizes.append(len(own) // encoder.dtype.itemsize)
+                    for own in encoder.encode_all([t or b"" for t in raw_texts(part.column(1))]):
+                        sizes.append(len(own) // encoder.dtype.itemsize + 1)
                         yield own
+                        yield end
 
         put_file(_shard(folder, number) + ".ids", encoded())
         offsets = np.zeros(len(sizes) + 1, "<i8")
