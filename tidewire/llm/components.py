@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import work_folder, written
+from .storage import removed, work_folder, written
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -42,7 +42,10 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
             "node", F.least("low", F.coalesce("next", "low")).alias("label"), "old"
         )
         stored = written(jumped, f"{folder}/labels-{k}")
-        if stored.where("label <> old").isEmpty():
+        done = stored.where("label <> old").isEmpty()
+        removed(edges.sparkSession, f"{folder}/labels-{k - 1}")
+        if done:
+            removed(edges.sparkSession, f"{folder}/edges")
             return stored.select("node", "label")
         labels = stored.select("node", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

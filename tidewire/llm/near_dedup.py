@@ -13,21 +13,27 @@ most ``MISS``.
    hub; every other class of the bucket is a candidate with the hub alone,
    never with all others.  Candidates are confirmed on their full sets, and
    links give components.
-3. A bucket whose classes are all in one component needs no more.  Classes of
-   the other buckets go through an exact prefix-filter join: rarest shingles
-   first, two sets with similarity t share one of the first
+3. A bucket whose classes are all in one component needs no more.  In the other
+   buckets further hubs are elected from the component with the most classes
+   there, by a new order in each round, and only classes of other components
+   meet them; links merge components, and up to ``HUB_ROUNDS`` rounds follow.
+4. Classes of buckets that are still open go through an exact prefix-filter join:
+   rarest shingles first, two sets with similarity t share one of the first
    ``n - ceil(t * n) + 1``, and what follows the first one that they share has
-   to hold the rest of their overlap.  Its pairs across components are
+   to hold the rest of their overlap.  Each set carries the parities of its
+   shingles in ``SKETCH_BITS`` groups: the parities in which two sets differ are
+   never more than the shingles in which they do, so pairs that can't be
+   similar end inside the join.  Its pairs across components are
    confirmed likewise.  So a link found by a shared bucket is never lost to the hubs.
 
 Texts travel only for classes with a candidate, once as a member and once as
 a hub; shingle sets are rebuilt where they are compared.
 
 Defined results: null, empty and blank texts have empty sets and stay alone; a
-text with fewer words than a shingle is one shingle; rows that repeat are one
-class; a null document id names no component, and a component of null ids
-alone has the id null; an empty table gives an empty result; extra columns
-are never read.
+text with fewer words than a shingle is one shingle; texts are read whole at
+any length; rows that repeat are one class; a null document id names no
+component, and a component of null ids alone has the id null; an empty table
+gives an empty result; extra columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,13 +48,17 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .components import connected_components
-from .storage import bounded_batches, mapped, put_file, work_folder, written
+from .storage import bounded_batches, mapped, put_file, removed, work_folder, written
 from .textkernel import MULT, U64, jaccard_counts, mix64, raw_texts, shingle_set
 
 HALF = 2
 MISS = 1e-4
 ORDER_BITS = 20
 ORDER_SAMPLE = 4000
+HUB_ROUNDS = 4
+HUB_ORDERS = 8
+SKETCH_BITS = 256
+KEYS_PER_TASK = 500_000
 
 
 def table_side(threshold: float, *, half: int = HALF, miss: float = MISS) -> int:
@@ -175,46 +185,122 @@ def _rarity_order(nodes: DataFrame, shingle: int, uri: str) -> None:
     put_file(uri, [total.tobytes()])
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles in ``SKETCH_BITS`` groups, as signed 64-bit words."""
+    group = (own & U64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = np.bincount(group, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+_SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+
+
 def _prefixer(shingle: int, percent: int, uri: str):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = mapped(uri, "<i4")
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                chosen = []
+                chosen, sketches = [], []
                 for text in raw_texts(part.column(3)):
                     own = shingle_set(text.lower().split(), shingle)
+                    sketches.append(parity_sketch(own))
                     rare = np.asarray(order[(own >> U64(64 - ORDER_BITS)).astype(np.int64)])
                     size = len(own) - ceil(len(own) * percent / 100) + 1
                     chosen.append(own[np.lexsort((own, rare))[:size]].view(np.int64))
                 sizes = [len(c) for c in chosen]
                 owner = pa.array(np.repeat(np.arange(len(chosen)), sizes))
                 place = np.concatenate([np.arange(size) for size in sizes])
+                sketch = np.repeat(np.stack(sketches), sizes, axis=0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i).take(owner) for i in range(3)), pa.array(np.concatenate(chosen)), pa.array(place)],
-                    names=["node", "n", "comp", "shingle", "place"],
+                    [*(part.column(i).take(owner) for i in range(3)), pa.array(np.concatenate(chosen)), pa.array(place),
+                     *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(_SKETCH)))],
+                    names=["node", "n", "comp", "shingle", "place", *_SKETCH],
                 )
 
     return prefixes
 
 
+def _next_round(at: DataFrame, tried: DataFrame, number: int, percent: int) -> DataFrame:
+    """Untried (src, dst) of a new hub in each bucket and the other components' classes."""
+    order = F.xxhash64("node", F.lit(number), F.pmod("key", F.lit(HUB_ORDERS)))
+    best = at.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("c"), F.max(F.struct(order.alias("order"), "node", "n")).alias("top")
+    )
+    hubs = best.groupBy("key").agg(F.max(F.struct("c", "top", "comp")).alias("hub"))
+    pairs = (
+        at.join(hubs, "key")
+        .where((F.col("comp") != F.col("hub.comp")) & _sizes_fit(F.col("n"), F.col("hub.top.n"), percent))
+        .select(F.col("hub.top.node").alias("src"), F.col("node").alias("dst"))
+        .distinct()
+    )
+    met = tried.union(tried.select("dst", "src"))
+    return pairs.join(met, ["src", "dst"], "left_anti")
+
+
+def _still_open(at: DataFrame) -> DataFrame:
+    """The rows of those buckets whose classes are in several components."""
+    keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return at.join(keys, "key", "left_semi")
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with ``comp`` replaced where ``merged`` has another label for it."""
+    step = merged.select(F.col("node").alias("comp"), F.col("label").alias("_into"))
+    return rows.join(step, "comp", "left").withColumn("comp", F.coalesce("_into", "comp")).drop("_into")
+
+
+def _merged(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, label) of the components that ``links`` join."""
+    ends = [comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")).distinct() for c in ("src", "dst")]
+    named = links.join(ends[0], "src").join(ends[1], "dst")
+    return connected_components(named.select(F.col("src_comp").alias("src"), F.col("dst_comp").alias("dst")))
+
+
+def _exact_pairs(rest: DataFrame, shingle: int, percent: int, folder: str) -> DataFrame:
+    """(src, dst) across components that may be similar, by prefixes and sketches."""
+    _rarity_order(rest, shingle, f"{folder}/rarity")
+    sketch = ", ".join(f"{c} long" for c in _SKETCH)
+    prefixes = written(
+        rest.mapInArrow(
+            _prefixer(shingle, percent, f"{folder}/rarity"),
+            f"node long, n long, comp long, shingle long, place long, {sketch}",
+        ),
+        f"{folder}/prefixes",
+    )
+    other = prefixes.select("shingle", *[F.col(c).alias(f"{c}_2") for c in prefixes.columns if c != "shingle"])
+    # At the first shingle that two sets share, nothing before it is common.
+    rest_fits = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2"))
+    both = F.col("n") + F.col("n_2")
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in _SKETCH), F.lit(0))
+    return (
+        prefixes.join(other, "shingle")
+        .where((F.col("node") < F.col("node_2")) & (F.col("comp") != F.col("comp_2"))
+               & _sizes_fit(F.col("n"), F.col("n_2"), percent) & (rest_fits * (100 + percent) >= both * percent)
+               & (differ * (100 + percent) <= both * (100 - percent)))
+        .select(F.col("node").alias("src"), F.col("node_2").alias("dst"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, *, shingle: int = 3, percent: int = 85, half: int = HALF, miss: float = MISS
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, text_hash, n_shingles, digest, component_id.
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, digest, label, component_id.
 
-    ``percent`` is the similarity in hundredths at which texts are linked.
+    ``percent`` is the similarity in hundredths at which texts are linked;
+    ``label`` numbers the components (null for empty sets).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = work_folder(spark, "near")
     m = table_side(percent / 100, half=half, miss=miss)
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = written(
         base.mapInArrow(
             _signer(shingle, m),
-            f"doc_id {kind}, text_hash long, n_shingles long, digest binary, half_keys array<int>",
+            f"doc_id {id_type}, text_hash long, n_shingles long, digest binary, half_keys array<int>",
         ),
         f"{folder}/signed",
     )
@@ -230,7 +316,8 @@ def near_duplicates(
         f"flatten(transform(slice(half_keys, 1, {m}), (a, i) -> "
         f"transform(slice(half_keys, {m + 1}, {m}), (b, j) -> xxhash64(a, b, i * {m} + j))))"
     )
-    keyed = classes.select("node", "n", F.explode(keys).alias("key"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * m * m // KEYS_PER_TASK))
+    keyed = classes.select("node", "n", "half_keys").repartition(tasks, "node").select("node", "n", F.explode(keys).alias("key"))
     shared = written(
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"{folder}/shared"
     )
@@ -240,11 +327,12 @@ def near_duplicates(
         dense.join(popular, "node").groupBy("key").agg(F.max(F.struct("pop", "node", "n")).alias("hub")),
         f"{folder}/hubs",
     )
-    stars = (
+    stars = written(
         dense.join(hubs, "key")
         .where((F.col("node") != F.col("hub.node")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
         .select(F.col("hub.node").alias("src"), F.col("node").alias("dst"))
-        .distinct()
+        .distinct(),
+        f"{folder}/stars",
     )
     nodes = dense.select("node").distinct()
     wanted = classes.join(nodes, "node").select(
@@ -256,44 +344,39 @@ def near_duplicates(
         .select("node", "n", "text"),
         f"{folder}/texts",
     )
-    links = written(confirmed(stars, texts, shingle, percent), f"{folder}/links-stars")
-    labels = connected_components(links)
-    at = dense.select("key", "node").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("label", "node").alias("comp")
-    )
-    open_keys = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    at_open = at.join(written(open_keys.select("key"), f"{folder}/open"), "key").select("node", "comp").distinct()
-    rest = written(texts.join(at_open, "node").select("node", "n", "comp", "text"), f"{folder}/rest")
+    links = written(confirmed(stars, texts, shingle, percent), f"{folder}/links-0")
+    steps = [connected_components(links)]
+    at = _relabelled(dense.select("key", "node", "n", F.col("node").alias("comp")), steps[0])
+    at = written(_still_open(at), f"{folder}/open-0")
+    tried = stars
+    for number in range(1, HUB_ROUNDS + 1):
+        pairs = written(_next_round(at, tried, number, percent), f"{folder}/pairs-{number}")
+        if pairs.isEmpty():
+            break
+        links = written(confirmed(pairs, texts, shingle, percent), f"{folder}/links-{number}")
+        tried = tried.union(pairs)
+        if not links.isEmpty():
+            steps.append(_merged(links, at))
+            at = written(_still_open(_relabelled(at, steps[-1])), f"{folder}/open-{number}")
+    open_nodes = at.select("node", "comp").distinct()
+    rest = written(texts.join(open_nodes, "node").select("node", "n", "comp", "text"), f"{folder}/rest")
     if not rest.isEmpty():
-        _rarity_order(rest, shingle, f"{folder}/rarity")
-        prefixes = written(
-            rest.mapInArrow(
-                _prefixer(shingle, percent, f"{folder}/rarity"), "node long, n long, comp long, shingle long, place long"
-            ),
-            f"{folder}/prefixes",
-        )
-        other = prefixes.select(*[F.col(c).alias(f"{c}2") for c in ("node", "n", "comp", "place")], "shingle")
-        # At the first shingle that two sets share, nothing before it is common.
-        rest_fits = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-        both = F.col("n") + F.col("n2")
-        pairs = (
-            prefixes.join(other, "shingle")
-            .where((F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2"))
-                   & _sizes_fit(F.col("n"), F.col("n2"), percent) & (rest_fits * (100 + percent) >= both * percent))
-            .select(F.col("node").alias("src"), F.col("node2").alias("dst"))
-            .distinct()
-        )
-        more = written(confirmed(pairs, rest, shingle, percent), f"{folder}/links-rest")
-        if not more.isEmpty():
-            labels = connected_components(links.union(more))
-    whole = classes.join(labels, "node", "left").select(
-        "digest", "rep.doc_id", F.coalesce("label", "node").alias("label")
-    )
+        pairs = _exact_pairs(rest, shingle, percent, folder)
+        links = written(confirmed(pairs, rest, shingle, percent), f"{folder}/links-rest")
+        if not links.isEmpty():
+            steps.append(_merged(links, rest))
+    whole = classes.select("digest", "rep.doc_id", F.col("node").alias("comp"))
+    for step in steps:
+        whole = _relabelled(whole, step)
+    whole = written(whole.withColumnRenamed("comp", "label"), f"{folder}/labelled")
     smallest = whole.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = written(whole.join(smallest, "label").select("digest", "component_id"), f"{folder}/named")
+    named = written(whole.join(smallest, "label").select("digest", "label", "component_id"), f"{folder}/named")
+    used = ["classes", "shared", "dense", "hubs", "stars", "texts", "rest", "prefixes", "links-rest", "labelled"]
+    used += [f"{kind}-{i}" for kind in ("links", "open", "pairs") for i in range(HUB_ROUNDS + 1)]
+    removed(spark, *(f"{folder}/{name}" for name in used))
     joined = signed.drop("half_keys").join(named, "digest", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "text_hash", "n_shingles", "digest", alone.alias("component_id"))
+    return joined.select("doc_id", "text_hash", "n_shingles", "digest", "label", alone.alias("component_id"))
 
 
 def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
@@ -309,23 +392,23 @@ def near_duplicate_report(docs: DataFrame, **options) -> DataFrame:
 def representatives(docs: DataFrame, *, shingle: int = 5, percent: int = 80, **options) -> DataFrame:
     """One row of ``docs`` for each near-duplicate group, columns unchanged.
 
-    The row with the smallest document id stays; of rows that also share the
-    id and the shingles, any one.
+    The row with the smallest document id stays, null ids last; of those that
+    share the id, the one whose text has the smallest hash; of identical ones,
+    any one.  Rows without words stay, each by itself.
     """
-    names = docs.columns
     marked = near_duplicates(docs, shingle=shingle, percent=percent, **options)
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("digest").alias("_digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
+    kept = marked.where("label is not null").groupBy("label").agg(first).select(
+        F.col("rep.doc_id").alias("_doc"), F.col("rep.text_hash").alias("_hash")
     )
-    kept = kept.distinct()
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_hash"))
-    found = rows.join(kept, same)
-    repeated = marked.groupBy("doc_id", "digest").count().where("count > 1 and digest is not null")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"),
+        F.xxhash64("text").alias("_own"),
+        F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"),
+    )
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_hash"))
+    found = rows.join(kept, same, "left").where(~F.col("_worded") | F.col("_hash").isNotNull())
+    repeated = marked.where("label is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
     if not repeated.isEmpty():
-        found = found.where("_digest is null").unionByName(
-            found.where("_digest is not null").dropDuplicates(["doc_id", "_digest"])
-        )
-    return found.select(*[F.col(f"`{c}`") for c in names])
-
-
+        found = found.where("not _worded").unionByName(found.where("_worded").dropDuplicates(["_id", "_own"]))
+    return found.select("_row.*")

@@ -1,9 +1,11 @@
 """The folder that driver and executors share, and files written in it.
 
 The folder is the one a cluster names in ``spark.checkpoint.dir``.  Only where
-that setting is empty (tests, a laptop) is a private folder made and set.
-Local and mounted folders (no scheme, or ``file:``) are memory-mapped; any
-other scheme goes through ``pyarrow.fs`` and is read into memory.
+that setting is empty and the master is local (tests, a laptop) is a private
+folder made; on a cluster its absence is an error.
+Local and mounted folders (no scheme, or ``file:``) are memory-mapped; a file
+of any other scheme is copied through ``pyarrow.fs`` to an unnamed file of the
+machine that reads it, once for each Python worker, and mapped there.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -24,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="tidewire-shared-"))
     return _own_folder[0]
@@ -47,6 +52,13 @@ def written(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def removed(spark: SparkSession, *uris: str) -> None:
+    """Delete folders whose tables nothing reads any more."""
+    for uri in uris:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _local(uri: str) -> str | None:
     parts = urlsplit(uri)
     if parts.scheme in ("", "file"):
@@ -92,11 +104,23 @@ def get_bytes(uri: str) -> bytes:
         return f.read()
 
 
+@lru_cache(4096)
+def _copied(uri: str) -> np.ndarray:
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(uri)
+    with tempfile.TemporaryFile() as copy, system.open_input_stream(inner) as source:
+        while chunk := source.read(1 << 22):
+            copy.write(chunk)
+        copy.flush()
+        return np.memmap(copy, dtype=np.uint8, mode="r") if copy.tell() else np.zeros(0, np.uint8)
+
+
 def mapped(uri: str, dtype) -> np.ndarray:
-    """A flat array file, memory-mapped where the folder is mounted."""
+    """A flat array file, memory-mapped."""
     path = _local(uri)
     if path is None:
-        return np.frombuffer(get_bytes(uri), dtype)
+        return _copied(uri).view(dtype)
     if os.path.getsize(path) == 0:
         return np.zeros(0, dtype)
     return np.memmap(path, dtype=dtype, mode="r")
