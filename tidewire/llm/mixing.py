@@ -7,19 +7,25 @@ one hash-seeded Bernoulli copy with probability ``rate - floor(rate)``.
 Scale: the documents are never shuffled while the table of sources is small.
 Its size is counted; up to ``BROADCAST_SOURCES`` rows it is broadcast, beyond
 that both sides are dealt by (source, salt), so a hot source has many tasks.
-
-Defined results: a null or empty text has size 0; a null source is a source
-of its own and comes last; a source without words has target 0 and is not
-taken; rows that repeat a document share one draw, since the draw depends on
-the document id and the seed alone (a null id draws as an empty string);
-an empty table gives an empty result; other columns pass through unread.
+Places of sources come from ranges and prefix sums, the water level from a few
+aggregates over the sources, so no task holds all sources either.
+
+Defined results: a null or empty text has size 0; texts are read whole at any
+length; a null source is a source of its own and comes last; a source without
+words has target 0 and is not taken; the draw depends on the seed, the
+document id (null draws as an empty string) and the text; rows that repeat
+both draw by their place in the input as well, so each has a draw of its own; of
+sources with equal ratios of cap and weight all or none reach the cap; an
+empty table gives an empty result; other columns pass through unread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators.positions import with_positions
+
 from .storage import work_folder, written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,47 +44,46 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, *, cycle=CYCLE, share=SHARE, cap=CAP) -> DataFrame:
     """(source, source_size) -> the same with weight and target.
 
-    The water level is found in closed form: sources in order of
-    ``cap * size / weight`` reach their cap first, so the level is what is
-    left of the total over the weights that are left, at the first source
-    that does not reach its cap.  One row for each source is all that the
-    ordered windows hold.
+    A source's target is its weight times the water level, or its cap if that
+    is less.  The level rises as capped sources leave their excess to the
+    others, and settles when no further source reaches its cap.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    at = F.pmod(F.row_number().over(order) - 1, F.lit(len(cycle)))
+    placed = with_positions(sizes, [F.col("source").asc_nulls_last()], "_place")
+    at = F.pmod(F.col("_place") - 1, F.lit(len(cycle)))
     weight = F.lit(cycle[-1])
     for i, w in enumerate(cycle[:-1]):
         weight = F.when(at == i, F.lit(w)).otherwise(weight)
-    everything = Window.partitionBy()
-    by_cap = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    level = (
-        sizes.withColumn("weight", weight)
-        .withColumn("most", F.col("source_size") * F.lit(cap))
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("full", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("spent", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("own_level", (F.col("total") - F.col("full")) / (F.col("weights") - F.col("spent")))
-        .withColumn("open", F.col("own_level") < F.col("ratio"))
-        .withColumn("place", F.row_number().over(by_cap))
-        .withColumn("level", F.min(F.when(F.col("open"), F.struct("place", "own_level"))).over(everything))
-    )
-    return level.select(
-        "source",
-        "source_size",
-        "weight",
-        F.when(F.col("level").isNull(), F.col("most"))
-        .otherwise(F.least("most", F.col("weight") * F.col("level.own_level")))
-        .alias("target"),
-    )
-
-
-def draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) from the id and the seed, the same in every run."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+    rows = placed.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(cap))
+    ratio = F.col("most") / F.col("weight")
+    whole = rows.agg(F.sum("source_size") * F.lit(share), F.sum("weight")).first()
+    total, weights = (whole[0] or 0.0), (whole[1] or 0.0)
+    level, full, spent = -1.0, 0.0, 0.0
+    while weights > spent and (next_level := (total - full) / (weights - spent)) != level:
+        level = next_level
+        capped = rows.where(ratio <= F.lit(level)).agg(F.sum("most"), F.sum("weight")).first()
+        full, spent = capped[0] or 0.0, capped[1] or 0.0
+    own = F.col("most") if weights <= spent else F.least("most", F.col("weight") * F.lit(level))
+    return rows.select("source", "source_size", "weight", own.alias("target"))
+
+
+def draw(doc_id: Column, text: Column, tie: Column, seed: str) -> Column:
+    """A number in [0, 1) from id, text and seed, the same in every run."""
+    own = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.md5(text), F.lit("")), tie)
+    return F.conv(F.substring(F.md5(own), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
+def _with_ties(docs: DataFrame, folder: str) -> DataFrame:
+    """``docs`` with ``_tie``: empty, or the place of a row that repeats id and text."""
+    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")]
+    again = written(docs.select(*key).groupBy("_id", "_hash").count().where("count > 1").drop("count"), f"{folder}/again")
+    n = again.count()
+    if not n:
+        return docs.withColumn("_tie", F.lit(""))
+    numbered = docs.withColumn("_at", F.monotonically_increasing_id())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    marked = numbered.join(F.broadcast(again) if n <= BROADCAST_SOURCES else again, same, "left")
+    tie = F.when(F.col("_hash").isNull(), F.lit("")).otherwise(F.col("_at").cast("string"))
+    return marked.withColumn("_tie", tie).drop("_at", "_id", "_hash")
 
 
 def _with_targets(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def _with_targets(docs: DataFrame, targets: DataFrame) -> DataFrame:
     same = F.col("source").eqNullSafe(F.col("_source"))
     if targets.count() <= BROADCAST_SOURCES:
         return docs.join(F.broadcast(named), same).drop("_source")
-    salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
     spread = named.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = salted.join(spread, same & (F.col("_salt") == F.col("_slot")))
     return joined.drop("_source", "_salt", "_slot")
@@ -96,20 +101,18 @@ def mix_copies(
     docs: DataFrame, *, seed: str = "mix-1", cycle=CYCLE, share=SHARE, cap=CAP
 ) -> DataFrame:
     """``docs`` with size, source_size, target and the number of copies."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = written(
-        source_targets(sums, cycle=cycle, share=share, cap=cap), work_folder(spark, "mix")
-    ).drop("weight")
+    folder = work_folder(docs.sparkSession, "mix")
+    sums = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = written(source_targets(sums, cycle=cycle, share=share, cap=cap).drop("weight"), f"{folder}/targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.col("_rate"))
-    extra = (draw(F.col("doc_id"), seed) < F.col("_rate") - whole).cast("long")
+    extra = (draw(F.col("doc_id"), F.col("text"), F.col("_tie"), seed) < F.col("_rate") - whole).cast("long")
+    sized = _with_ties(docs, folder).withColumn("size", word_count(F.col("text")))
     return (
         _with_targets(sized, targets)
         .withColumn("_rate", rate)
         .withColumn("copies", (whole + extra).cast("long"))
-        .drop("_rate")
+        .drop("_rate", "_tie")
     )
 
 

@@ -48,7 +48,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model_scores(table(spark, sf_dir, "documents"), least_pair=1)
+    return language_model_scores(table(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _MIXING_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(text) AS digest,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), sums AS (
@@ -98,12 +98,12 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, weight * level) END AS target
   FROM levels, level
 ), rated AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, digest, size, source_size, target,
          CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 ), copied AS (
   SELECT *, CAST(floor(rate) AS BIGINT) + CAST(
-           CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT)
+           CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(digest, '') || ':'), 1, 8)) AS BIGINT)
            / 4294967296.0::DOUBLE < rate - floor(rate) AS BIGINT) AS copies
   FROM rated
 )
