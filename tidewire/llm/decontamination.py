@@ -20,7 +20,10 @@ pieces that overlap by ``SPAN - 1`` words.
 
 Defined results: null texts have no words and no hits; items without words
 match nothing; items that repeat are all reported; document rows that repeat
-give one row each; extra columns are never read.
+give one row each; a null document id is kept as it is and a null item id is
+reported as an empty string; texts are read whole at any length; an empty
+table of documents gives an empty result, an empty benchmark no hits; extra
+columns are never read, whatever their names, and ``clean`` passes them through.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .storage import bounded_batches, work_folder, written
 from .textkernel import U64, gram_hashes, mix64, raw_texts, word_hashes
@@ -159,13 +163,18 @@ def _spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
 
 
-_FOUND = "n_words long, spans array<int>, items array<string>"
+_FOUND = [
+    StructField("n_words", LongType()),
+    StructField("spans", ArrayType(IntegerType())),
+    StructField("items", ArrayType(StringType())),
+]
 
 
-def _scan(docs: DataFrame, index: BenchmarkIndex | None, keys: list[str]) -> DataFrame:
-    """``keys`` of docs with word count, hit spans and items found."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most BLOCK_WORDS words
+def _scan(rows: DataFrame, index: BenchmarkIndex | None) -> DataFrame:
+    """The columns before ``text`` (the last) with word count, hit spans and items found."""
+    bounded_batches(rows.sparkSession)
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # at most BLOCK_WORDS words
+    keys = rows.columns[:-1]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -189,9 +198,7 @@ def _scan(docs: DataFrame, index: BenchmarkIndex | None, keys: list[str]) -> Dat
                     names=[*keys, "n_words", "spans", "items"],
                 )
 
-    rows = docs.select(*keys, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInArrow(scan, f"{schema}, {_FOUND}")
+    return rows.mapInArrow(scan, StructType([*rows.schema.fields[:-1], *_FOUND]))
 
 
 def benchmark_overlaps(
@@ -202,14 +209,18 @@ def benchmark_overlaps(
     blocks = _blocks(benchmark, block_words)
     first = next(blocks, None)
     second = next(blocks, None) if first else None
-    names = list(keys)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{k}`") for k in keys]).alias("key"), F.col("text").cast("string").alias("text")
+    )
     if second is None:
-        return _scan(docs, BenchmarkIndex(first) if first else None, names)
+        return _scan(rows, BenchmarkIndex(first) if first else None).select("key.*", "n_words", "spans", "items")
     folder = work_folder(spark, "overlaps")
-    numbered = written(docs.select(*names, "text").withColumn("_row", F.monotonically_increasing_id()), f"{folder}/rows")
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    numbered = written(numbered, f"{folder}/rows")
     passes, block, k = [], first, 0
     while block is not None:
-        passes.append(written(_scan(numbered, BenchmarkIndex(block), [*names, "_row"]), f"{folder}/pass-{k}"))
+        own = _scan(numbered.select("row", "text"), BenchmarkIndex(block))
+        passes.append(written(own.where((F.size("spans") > 0) | F.lit(k == 0)), f"{folder}/pass-{k}"))
         block, second, k = second, next(blocks, None), k + 1
     union = passes[0]
     for other in passes[1:]:
@@ -218,24 +229,23 @@ def benchmark_overlaps(
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
-            for lists, n in zip(batch.column("_spans").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
+            for lists, n in zip(batch.column("lists").to_pylist(), batch.column("n_words").to_pylist(), strict=True):
                 flags = np.zeros(n, bool)
                 for own in lists:
                     for a, b in zip(own[::2], own[1::2], strict=True):
                         flags[a:b] = True
                 spans.append(_spans(flags))
-            kept = [batch.column(c) for c in (*names, "n_words")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(spans, pa.list_(pa.int32())), batch.column("items")],
-                names=[*names, "n_words", "spans", "items"],
+                [batch.column("row"), batch.column("n_words"), pa.array(spans, pa.list_(pa.int32())), batch.column("items")],
+                names=["row", "n_words", "spans", "items"],
             )
 
-    grouped = union.groupBy("_row", *names, "n_words").agg(
-        F.collect_list("spans").alias("_spans"),
+    grouped = union.groupBy("row", "n_words").agg(
+        F.collect_list("spans").alias("lists"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )  # one row for each pass in a group
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names)
-    return grouped.select(*names, "n_words", "_spans", "items").mapInArrow(unite, f"{schema}, {_FOUND}")
+    )  # at most one row for each pass in a group
+    united = grouped.mapInArrow(unite, StructType([StructField("row", LongType()), *_FOUND]))
+    return numbered.select("row", "key").join(united, "row").select("key.*", "n_words", "spans", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -256,9 +266,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark."""
-    folded = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    rows = benchmark_overlaps(folded, benchmark, keys=("_row",), **options)
-    return rows.where(F.size("spans") == 0).select("_row.*")
+    folded = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "text")
+    rows = benchmark_overlaps(folded, benchmark, keys=("whole",), **options)
+    return rows.where(F.size("spans") == 0).select("whole.*")
 
 
 def items_digest(names: list[str]) -> str:
