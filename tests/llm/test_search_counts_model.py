@@ -61,7 +61,7 @@ def test_language_model_against_counts(spark):
     words = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(5000)]
     rows = [(i, " ".join(words[i * 16 : i * 16 + rng.randrange(16)])) for i in range(300)] + [(400, None), (401, "never-seen W1\tw2"), (402, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in language_model_scores(df).collect()}
+    got = {r.doc_id: r for r in language_model_scores(df, least_pair=2).collect()}
     tokens = {i: [*(t or "").lower().split(), "\n"] for i, t in rows}
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
     uni = Counter(w for i in train for w in tokens[i])

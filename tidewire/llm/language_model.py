@@ -21,9 +21,9 @@ Pairs are dealt to shards by where they fall among all training tokens when
 those are ordered by (context, word): the tokens before the context, and of its
 own the share that the smaller words have in the corpus.  So shards follow from
 the word counts alone and hold about as many tokens each.  A context may be
-split between shards; ``trie.json`` has the back-off weights of those.  Pairs
-seen less than ``least_pair`` times are left to the back-off weight; with 1,
-which the registered query takes, every pair is kept.
+split between shards; ``trie.json`` has the back-off weights of those.  Every
+pair is kept; a caller who wants a smaller model may leave pairs seen less than
+``least_pair`` times to the back-off weight.
 
 Defined results: a null or empty text is one end token; words that were never
 seen have c = 0; without training rows every count is 0, N and V are 0 and
@@ -54,7 +54,7 @@ from .textkernel import U64, raw_texts, word_hashes
 FOLDS = 7
 HELD_OUT = 2
 DISCOUNT = 0.75
-LEAST_PAIR = 2
+LEAST_PAIR = 1
 OPEN_SHARDS = 512
 BATCH_TOKENS = 2_000_000
 SHARD_ROWS = 2_000_000
