@@ -1,13 +1,15 @@
-"""Tables and fold rules that the registered queries share."""
+"""Tables, fold rules and bounded samples that the operators share."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.session import table
 
-__all__ = ["fold", "table", "tokenizer_path"]
+__all__ = ["bounded_sample", "fold", "table", "tokenizer_path"]
+
+MOST_KEYS = 2000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -15,6 +17,30 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(0)).cast("int")
 
 
+def bounded_sample(rows: DataFrame, key: str, tag: str, per_key: int, *, most_keys: int = MOST_KEYS) -> DataFrame:
+    """At most ``per_key`` rows of each key, those with the smallest ``tag``.
+
+    ``tag`` is a 64-bit hash.  Rows are counted by key first, and only those
+    whose tag is among the smallest ``2 * per_key`` or so of their key go on, so
+    the window holds that many whatever the size of the table.  Rows with equal
+    key and tag are one row.  A model of more than ``most_keys`` keys would not
+    fit its broadcast, so that raises an error.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).limit(most_keys + 1).collect()
+    if len(counts) > most_keys:
+        raise ValueError(f"more than {most_keys} values of {key}")
+    shares = rows.sparkSession.createDataFrame(
+        [(r[0], min(1.0, (2 * per_key + 64) / r._n)) for r in counts],
+        f"`{key}` {rows.schema[key].dataType.simpleString()}, _share double",
+    )
+    early = rows.join(F.broadcast(shares), key).where(F.col(tag) / F.lit(2.0**64) + F.lit(0.5) < F.col("_share"))
+    return (
+        early.drop("_share").dropDuplicates([key, tag])
+        .withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(tag)))
+        .where(F.col("_rank") <= per_key).drop("_rank")
+    )
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where a public tokenizer's vocabulary is on this machine."""
     import public_tokenizers

@@ -14,7 +14,10 @@ Every whole text is scored.
 Defined results: null and empty texts, and texts without words, score the
 class balance of the fitted rows; without training rows of both classes the
 score is that balance, or 0.5 where there is none; rows that repeat are scored
-alike; other columns, ``labels.toxic`` included, are never inputs of a score.
+alike; an id that is labelled more than once has its largest label, and ids
+whose documents repeat are learned once; texts are read whole at any length;
+an empty table gives an empty result; other columns, ``labels.toxic``
+included, are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import bounded_sample, fold
 from .storage import bounded_batches
 from .textkernel import MULT, U64, mix64, raw_texts
 
@@ -176,18 +179,14 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
-    """A bounded sample of labelled rows outside the held-out fold."""
-    from pyspark.sql import Window
-
-    learnable = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != 0))
-    order = Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    chosen = (
-        learnable.select("doc_id", "toxic")
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= rows_per_class)
-        .drop("_rank")
-    )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    """A bounded sample of labelled rows outside the held-out fold, one for each id."""
+    learnable = labels.select(
+        F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "toxic").alias("tag")
+    ).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != 0))
+    chosen = bounded_sample(learnable, "toxic", "tag", rows_per_class).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    return texts.groupBy("doc_id").agg(one, F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options):
