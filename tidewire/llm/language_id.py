@@ -5,15 +5,22 @@ of ASCII bytes other than letters as one space), hashed to ``DIM`` slots, weighe
 ``log(1 + tf) * idf`` and brought to unit length.  Each language has up to
 ``CENTROIDS`` centroids from spherical k-means, so that styles within a
 language keep their own.  A text takes the language of the centroid with the
-largest cosine; it is *rejected* when that cosine lies below the floor of that
-centroid, a fraction of what its own training rows reach.
+largest cosine.  It is *rejected* when that cosine lies below the floor of that
+language for texts of this length: short texts are far from every centroid, so
+each language's floors come from pieces of its training texts of 8, 16, ...
+bytes, as a share of a low quantile of what the pieces reach.
 
 The classifier is fitted on at most ``ROWS_PER_LANGUAGE`` rows of each
-language, those with the smallest hash of the id; that bound is the only one.
+language, those with the smallest hash of the row; that bound is the only one.
+n-grams are counted where the rows are, document frequencies are summed by
+slot, and each language is clustered by one task; the driver gets the
+centroids alone.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0 and rejected; so is every text when there is nothing to learn from; rows
-that repeat are treated alike; ties go to the first language by code point.
+that repeat are treated alike; ties go to the first language by code point;
+an empty table gives an empty result; texts are read whole at any length;
+other columns are never read, and ``accepted`` passes them through.
 """
 
 from __future__ import annotations
@@ -23,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
-from .storage import bounded_batches
+from .common import bounded_sample, fold
+from .storage import bounded_batches, work_folder, written
 from .textkernel import MULT, U64, mix64, raw_texts
 
 ROWS_PER_LANGUAGE = 600
@@ -36,20 +42,30 @@ DIM_BITS = 13
 DIM = 1 << DIM_BITS
 LONGEST = 4
 CENTROIDS = 4
-FLOOR_SHARE = 0.3
+FLOOR_SHARE = 0.8
+FLOOR_QUANTILE = 0.01
+LENGTH_BITS = range(3, 12)
 HELD_OUT_FOLDS = 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTERS_ONLY = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
 
 def has_letter(text: bytes | None) -> bool:
-    return bool(text) and _LETTER.search(text.decode("utf-8", "replace")) is not None
+    """Whether any character is a letter (not a number sign such as a half)."""
+    if not text:
+        return False
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def slot_counts(text: bytes) -> np.ndarray:
-    """How often each slot's n-grams occur in the whole text."""
-    codes = np.frombuffer(b" " + b" ".join(text.translate(_LETTERS_ONLY).split()) + b" ", np.uint8).astype(U64)
+def letters(text: bytes) -> bytes:
+    """What n-grams are taken from: letters, with one space between runs."""
+    return b" " + b" ".join(text.translate(_LETTERS_ONLY).split()) + b" "
+
+
+def slot_counts(framed: bytes) -> np.ndarray:
+    """How often each slot's n-grams occur in all of ``framed``."""
+    codes = np.frombuffer(framed, np.uint8).astype(U64)
     out = np.zeros(DIM, np.int64)
     rolling = np.zeros(len(codes), U64)
     for n in range(1, min(LONGEST, len(codes)) + 1):
@@ -58,6 +74,11 @@ def slot_counts(text: bytes) -> np.ndarray:
     return out
 
 
+def length_bin(size: int) -> int:
+    """Place of a length in ``LENGTH_BITS``."""
+    return min(max(size.bit_length() - 1, LENGTH_BITS[0]), LENGTH_BITS[-1]) - LENGTH_BITS[0]
+
+
 def unit_rows(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF vectors of unit length (zero rows stay zero)."""
     rows = np.log1p(counts, dtype=np.float32)
@@ -82,96 +103,122 @@ def spherical_means(rows: np.ndarray, k: int, *, rounds: int = 12) -> np.ndarray
 
 
 class Model:
-    """Centroids with their languages and rejection floors."""
+    """Centroids with their languages, and each language's rejection floors."""
 
     def __init__(self, languages: list[str], idf, centres, owners, floors):
         self.languages, self.idf = languages, idf
         self.centres, self.owners, self.floors = centres, owners, floors
 
-    @classmethod
-    def fit(cls, counts: np.ndarray, langs: list[str], *, centroids: int = CENTROIDS) -> Model:
-        languages = sorted(set(langs))
-        idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-        rows, own = unit_rows(counts, idf), np.array([languages.index(x) for x in langs], np.int64)
-        centres, owners, floors = [], [], []
-        for i in range(len(languages)):
-            mine = rows[own == i]
-            found = spherical_means(mine, centroids)
-            cosines = mine @ found.T
-            nearest = cosines.argmax(1)
-            for c in range(len(found)):
-                near = cosines[nearest == c, c]
-                centres.append(found[c])
-                owners.append(i)
-                floors.append(FLOOR_SHARE * float(near.min()) if len(near) else 0.0)
-        return cls(languages, idf, np.array(centres, np.float32), np.array(owners), np.array(floors))
-
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, cosines and rejections."""
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         for first in range(0, len(known), 256):
             some = known[first : first + 256]
-            cosines = unit_rows(np.stack([slot_counts(texts[i]) for i in some]), self.idf) @ self.centres.T
+            framed = [letters(texts[i]) for i in some]
+            cosines = unit_rows(np.stack([slot_counts(f) for f in framed]), self.idf) @ self.centres.T
             best = cosines.argmax(1)
-            for i, c, cosine in zip(some, best.tolist(), cosines[np.arange(len(some)), best].tolist(), strict=True):
+            near = cosines[np.arange(len(some)), best].tolist()
+            for i, f, c, cosine in zip(some, framed, best.tolist(), near, strict=True):
                 langs[i] = self.languages[self.owners[c]]
                 scores[i] = min(1.0, max(0.0, cosine))
-                rejected[i] = cosine < self.floors[c]
+                rejected[i] = cosine < self.floors[self.owners[c], length_bin(len(f))]
         return langs, scores, rejected
 
 
 def training_rows(docs: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """A bounded sample of learnable rows: text and lang outside the held-out fold."""
-    learnable = docs.select("doc_id", "lang", "text").where(
-        F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()
-        & (fold(F.col("doc_id"), HELD_OUT_FOLDS) != 1)
-    )
-    chosen = learnable.select("doc_id", "lang", F.xxhash64("text").alias("_h"), F.col("text").alias("_t"))
-    ranks = (
-        learnable.select("doc_id", "lang", F.xxhash64("text").alias("_h"))
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(
-            F.md5(F.col("doc_id").cast("string")), "doc_id", "_h")))
-        .where(F.col("_rank") <= rows_per_language)
-        .drop("_rank")
-    )
-    return chosen.join(F.broadcast(ranks), ["doc_id", "lang", "_h"], "left_semi").select(
-        "doc_id", "lang", F.col("_t").alias("text")
-    )
-
-
-def fit(docs: DataFrame, **options) -> Model:
-    """Count n-grams of the sampled texts on the executors, then cluster."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, langs, slots, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
-            for text in raw_texts(batch.column(2)):
-                own = slot_counts(text) if has_letter(text) else np.zeros(DIM, np.int64)
+    learnable = docs.select(
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
+        F.xxhash64("doc_id", "text").alias("tag"), fold(F.col("doc_id"), HELD_OUT_FOLDS).alias("_fold"),
+    ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("_fold") != 1)).drop("_fold")
+    return bounded_sample(learnable, "lang", "tag", rows_per_language)
+
+
+_COUNTED = "lang string, tag long, piece int, slots array<int>, counts array<int>"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse n-gram counts of each text (piece -1) and of one piece of it for each length."""
+    for batch in batches:
+        tags, owners, pieces, slots, counts = batch.column(2).to_pylist(), [], [], [], []
+        for row, text in enumerate(raw_texts(batch.column(1))):
+            if not has_letter(text):
+                continue
+            framed = letters(text)
+            parts = [(-1, framed)]
+            for i, bits in enumerate(LENGTH_BITS):
+                if len(framed) >= 1 << bits:
+                    at = tags[row] % (len(framed) - (1 << bits) + 1)
+                    parts.append((i, framed[at : at + (1 << bits)]))
+            for piece, part in parts:
+                own = slot_counts(part)
                 at = np.flatnonzero(own)
+                owners.append(row)
+                pieces.append(piece)
                 slots.append(at.astype(np.int32))
                 counts.append(own[at].astype(np.int32))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array(keys, pa.string()),
-                    "lang": pa.array(langs, pa.string()),
-                    "slots": pa.array(slots, pa.list_(pa.int32())),
-                    "counts": pa.array(counts, pa.list_(pa.int32())),
-                }
-            )
-
-    bounded_batches(docs.sparkSession)
-    rows = training_rows(docs, **options).withColumn("doc_id", F.col("doc_id").cast("string"))
-    found = rows.mapInArrow(count, "doc_id string, lang string, slots array<int>, counts array<int>").toArrow()
-    found = found.filter(pa.compute.greater(pa.compute.list_value_length(found["slots"]), 0))
-    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    counts = np.zeros((found.num_rows, DIM), np.int32)
-    sizes = pa.compute.list_value_length(found["slots"]).to_numpy()
-    owner = np.repeat(np.arange(found.num_rows), sizes)
-    counts[owner, pa.compute.list_flatten(found["slots"]).to_numpy()] = pa.compute.list_flatten(found["counts"]).to_numpy()
-    langs = found["lang"].to_pylist()
-    del found, owner
-    return Model.fit(counts, langs)
+        rows = pa.array(owners, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(pieces, pa.int32()),
+             pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+            names=["lang", "tag", "piece", "slots", "counts"],
+        )
+
+
+def _dense(table: pa.Table) -> np.ndarray:
+    slots, counts = table["slots"].combine_chunks(), table["counts"].combine_chunks()
+    out = np.zeros((len(slots), DIM), np.int32)
+    owner = np.repeat(np.arange(len(slots)), np.diff(slots.offsets.to_numpy()))
+    out[owner, slots.flatten().to_numpy()] = counts.flatten().to_numpy()
+    return out
+
+
+def _language_fitter(idf: np.ndarray, centroids: int):
+    def fit_one(rows: pa.Table) -> pa.Table:
+        """Centroids and floors of one language, from its bounded sample."""
+        rows = rows.sort_by([("tag", "ascending")])
+        piece = rows["piece"].to_numpy()
+        found = spherical_means(unit_rows(_dense(rows.filter(pa.array(piece == -1))), idf), centroids)
+        floors, last = [], 0.0
+        for i in range(len(LENGTH_BITS)):
+            own = rows.filter(pa.array(piece == i))
+            if own.num_rows:
+                near = (unit_rows(_dense(own), idf) @ found.T).max(1)
+                last = FLOOR_SHARE * float(np.quantile(near, FLOOR_QUANTILE))
+            floors.append(last)
+        lang = rows["lang"][0].as_py()
+        return pa.table(
+            {"lang": pa.array([lang] * len(found), pa.string()),
+             "centre": pa.array([c.astype("<f4").tobytes() for c in found], pa.binary()),
+             "floors": pa.array([floors] * len(found), pa.list_(pa.float64()))}
+        )
+
+    return fit_one
+
+
+def fit(docs: DataFrame, *, centroids: int = CENTROIDS, **options) -> Model:
+    """Count on the executors, cluster each language in a task of its own."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    counted = training_rows(docs, **options).mapInArrow(_count, _COUNTED)
+    counted = written(counted, f"{work_folder(spark, 'langid')}/counted")
+    whole = counted.where("piece = -1")
+    seen = whole.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect()  # at most DIM rows
+    frequency = np.zeros(DIM)
+    frequency[[r[0] for r in seen]] = [r[1] for r in seen]
+    idf = (np.log((1 + whole.count()) / (1 + frequency)) + 1).astype(np.float32)
+    made = counted.groupBy("lang").applyInArrow(
+        _language_fitter(idf, centroids), "lang string, centre binary, floors array<double>"
+    ).collect()  # a few centroids for each language
+    made.sort(key=lambda r: (r.lang.encode(), r.centre))
+    languages = sorted({r.lang for r in made})
+    floors = {r.lang: r.floors for r in made}
+    return Model(
+        languages, idf, np.array([np.frombuffer(r.centre, "<f4") for r in made], np.float32).reshape(-1, DIM),
+        np.array([languages.index(r.lang) for r in made], np.int64),
+        np.array([floors[x] for x in languages]).reshape(-1, len(LENGTH_BITS)),
+    )
 
 
 def language_ids(docs: DataFrame, **options) -> DataFrame:
