@@ -8,7 +8,8 @@ language keep their own.  A text takes the language of the centroid with the
 largest cosine.  It is *rejected* when that cosine lies below the floor of that
 language for texts of this length: short texts are far from every centroid, so
 each language's floors come from pieces of its training texts of 8, 16, ...
-bytes, as a share of a low quantile of what the pieces reach.
+bytes (three lengths of each text), as a share of a low quantile of what the
+pieces reach.
 
 The classifier is fitted on at most ``ROWS_PER_LANGUAGE`` rows of each
 language, those with the smallest hash of the row; that bound is the only one.
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +44,11 @@ DIM_BITS = 13
 DIM = 1 << DIM_BITS
 LONGEST = 4
 CENTROIDS = 4
-FLOOR_SHARE = 0.8
+FLOOR_SHARE = 0.6
 FLOOR_QUANTILE = 0.01
 LENGTH_BITS = range(3, 12)
+PIECE_SHARE = 3
+DENSE_ROWS = 64
 HELD_OUT_FOLDS = 3
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -113,8 +117,8 @@ class Model:
         """Languages, cosines and rejections."""
         known = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         langs, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        for first in range(0, len(known), 256):
-            some = known[first : first + 256]
+        for first in range(0, len(known), DENSE_ROWS):
+            some = known[first : first + DENSE_ROWS]
             framed = [letters(texts[i]) for i in some]
             cosines = unit_rows(np.stack([slot_counts(f) for f in framed]), self.idf) @ self.centres.T
             best = cosines.argmax(1)
@@ -139,39 +143,44 @@ _COUNTED = "lang string, tag long, piece int, slots array<int>, counts array<int
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sparse n-gram counts of each text (piece -1) and of one piece of it for each length."""
-    for batch in batches:
-        tags, owners, pieces, slots, counts = batch.column(2).to_pylist(), [], [], [], []
-        for row, text in enumerate(raw_texts(batch.column(1))):
-            if not has_letter(text):
-                continue
-            framed = letters(text)
-            parts = [(-1, framed)]
-            for i, bits in enumerate(LENGTH_BITS):
-                if len(framed) >= 1 << bits:
-                    at = tags[row] % (len(framed) - (1 << bits) + 1)
-                    parts.append((i, framed[at : at + (1 << bits)]))
-            for piece, part in parts:
-                own = slot_counts(part)
-                at = np.flatnonzero(own)
-                owners.append(row)
-                pieces.append(piece)
-                slots.append(at.astype(np.int32))
-                counts.append(own[at].astype(np.int32))
-        rows = pa.array(owners, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(pieces, pa.int32()),
-             pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-            names=["lang", "tag", "piece", "slots", "counts"],
-        )
-
-
-def _dense(table: pa.Table) -> np.ndarray:
-    slots, counts = table["slots"].combine_chunks(), table["counts"].combine_chunks()
-    out = np.zeros((len(slots), DIM), np.int32)
-    owner = np.repeat(np.arange(len(slots)), np.diff(slots.offsets.to_numpy()))
-    out[owner, slots.flatten().to_numpy()] = counts.flatten().to_numpy()
-    return out
+    """Sparse n-gram counts of each text (piece -1) and of pieces of every third length."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, DENSE_ROWS):
+            batch = whole.slice(first, DENSE_ROWS)
+            tags, owners, pieces, slots, counts = batch.column(2).to_pylist(), [], [], [], []
+            for row, text in enumerate(raw_texts(batch.column(1))):
+                if not has_letter(text):
+                    continue
+                framed = letters(text)
+                parts = [(-1, framed)]
+                for i, bits in enumerate(LENGTH_BITS):
+                    if len(framed) >= 1 << bits and (tags[row] + i) % PIECE_SHARE == 0:
+                        at = tags[row] % (len(framed) - (1 << bits) + 1)
+                        parts.append((i, framed[at : at + (1 << bits)]))
+                for piece, part in parts:
+                    own = slot_counts(part)
+                    at = np.flatnonzero(own)
+                    owners.append(row)
+                    pieces.append(piece)
+                    slots.append(at.astype(np.int32))
+                    counts.append(own[at].astype(np.int32))
+            rows = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(2).take(rows), pa.array(pieces, pa.int32()),
+                 pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
+                names=["lang", "tag", "piece", "slots", "counts"],
+            )
+
+
+def _unit_blocks(table: pa.Table, idf: np.ndarray) -> Iterator[np.ndarray]:
+    """Unit rows of sparse counts, ``DENSE_ROWS`` at a time."""
+    for first in range(0, table.num_rows, DENSE_ROWS):
+        part = table.slice(first, DENSE_ROWS)
+        slots, counts = part["slots"].combine_chunks(), part["counts"].combine_chunks()
+        out = np.zeros((len(slots), DIM), np.int32)
+        owner = np.repeat(np.arange(len(slots)), pa.compute.list_value_length(slots).to_numpy())
+        out[owner, slots.flatten().to_numpy()] = counts.flatten().to_numpy()
+        yield unit_rows(out, idf)
 
 
 def _language_fitter(idf: np.ndarray, centroids: int):
@@ -179,13 +188,16 @@ def _language_fitter(idf: np.ndarray, centroids: int):
         """Centroids and floors of one language, from its bounded sample."""
         rows = rows.sort_by([("tag", "ascending")])
         piece = rows["piece"].to_numpy()
-        found = spherical_means(unit_rows(_dense(rows.filter(pa.array(piece == -1))), idf), centroids)
+        whole = rows.filter(pa.array(piece == -1))
+        vectors = np.empty((whole.num_rows, DIM), np.float32)
+        for i, block in enumerate(_unit_blocks(whole, idf)):
+            vectors[i * DENSE_ROWS : i * DENSE_ROWS + len(block)] = block
+        found = spherical_means(vectors, centroids)
         floors, last = [], 0.0
         for i in range(len(LENGTH_BITS)):
-            own = rows.filter(pa.array(piece == i))
-            if own.num_rows:
-                near = (unit_rows(_dense(own), idf) @ found.T).max(1)
-                last = FLOOR_SHARE * float(np.quantile(near, FLOOR_QUANTILE))
+            near = [(block @ found.T).max(1) for block in _unit_blocks(rows.filter(pa.array(piece == i)), idf)]
+            if near:
+                last = FLOOR_SHARE * float(np.quantile(np.concatenate(near), FLOOR_QUANTILE))
             floors.append(last)
         lang = rows["lang"][0].as_py()
         return pa.table(

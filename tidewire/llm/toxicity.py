@@ -89,7 +89,9 @@ def train(texts: list[bytes | None], toxic: np.ndarray, *, steps: int = STEPS, s
     """(table, bias): what each bucket adds to the log odds, and the offset."""
     n_buckets = 1 << BUCKET_BITS
     toxic = np.asarray(toxic, np.int64)
-    positive = toxic.mean() if len(toxic) else 0.5
+    if not len(toxic):
+        return np.zeros(n_buckets, np.float32), 0.0
+    positive = toxic.mean()
     if not 0 < positive < 1:
         odds = np.clip(positive, 0.01, 0.99)
         return np.zeros(n_buckets, np.float32), float(np.log(odds / (1 - odds)))
