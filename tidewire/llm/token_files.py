@@ -37,7 +37,7 @@ from .textkernel import raw_texts
 
 NULL_ID = -(2**63)
 END_ID = 1
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 #: Bytes of Latin-1 that this module cuts by itself: white space, visible ASCII, letters.
 _OWN = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 
