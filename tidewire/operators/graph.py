@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.session import checkpointed
+
 MAX_HOPS = 8
 
 
@@ -29,12 +31,9 @@ def follow_redirects(ids: DataFrame, redirects: DataFrame, *, hops: int = MAX_HO
 def connected_labels(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     """(src, dst) -> (node, label): the least node of each component.
 
-    Minimum labels with pointer jumping; a round is cut by a checkpoint when
-    the session has a checkpoint folder, else it is cached.
+    Minimum labels with pointer jumping; every round is checkpointed.
     """
-    spark = edges.sparkSession
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    cut = (lambda df: df.checkpoint()) if folder else (lambda df: df.cache())
+    cut = checkpointed
     both = cut(edges.union(edges.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("label")))
     for _ in range(max_rounds):

@@ -18,14 +18,14 @@ def with_positions(rows: DataFrame, order: list[Column], name: str) -> DataFrame
     shuffle partition.
     """
     ranged = checkpointed(
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range_at", F.monotonically_increasing_id())
     )
-    part = F.shiftright("_at", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.shiftright("_range_at", 33)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
-        ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        ranged.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_range_n"))
+        .select("_range", F.coalesce(F.sum("_range_n").over(before), F.lit(0)).alias("_range_base"))
     )
-    return ranged.join(F.broadcast(bases), part == F.col("_part")).withColumn(
-        name, F.col("_base") + F.col("_at").bitwiseAND(F.lit(_WITHIN)) + 1
-    ).drop("_at", "_part", "_base")
+    return ranged.join(F.broadcast(bases), part == F.col("_range")).withColumn(
+        name, F.col("_range_base") + F.col("_range_at").bitwiseAND(F.lit(_WITHIN)) + 1
+    ).drop("_range_at", "_range", "_range_base")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.positions import with_positions
+
 # Sizes of the rosters.
 WEEKLY_FILL = 40
 WEEKLY_FLOOR = 2
@@ -16,16 +18,19 @@ def model_rank(items: DataFrame) -> DataFrame:
     """Rank of each item within its scoring model, and its place over all.
 
     Scores compare within a model alone, so the key across models is rank over
-    group size; then the score, then the event id.
+    group size; then the score, then the event id.  Both places come from
+    ranges of the order, so neither a model nor the table has to fit a task.
     """
-    model = Window.partitionBy(F.coalesce("model_used", F.lit("")))
     score = F.coalesce("final_score", F.lit(0))
-    own = model.orderBy(score.desc(), "ord")
-    rows = items.withColumn("model_rank", F.row_number().over(own)).withColumn(
-        "rank_key", F.col("model_rank") / F.count(F.lit(1)).over(model)
+    model = F.coalesce("model_used", F.lit(""))
+    placed = with_positions(items, [model.asc(), score.desc(), F.col("ord").asc()], "_rank_at")
+    sizes = placed.groupBy(model.alias("_model")).agg(F.min("_rank_at").alias("_rank_lo"), F.count(F.lit(1)).alias("_rank_n"))
+    rows = (
+        placed.join(sizes, model == F.col("_model"))
+        .withColumn("model_rank", F.col("_rank_at") - F.col("_rank_lo") + 1)
+        .withColumn("rank_key", F.col("model_rank") / F.col("_rank_n")).drop("_rank_at", "_model", "_rank_lo", "_rank_n")
     )
-    place = Window.orderBy("rank_key", score.desc(), "event_id")
-    return rows.withColumn("position", F.row_number().over(place))
+    return with_positions(rows, [F.col("rank_key").asc(), score.desc(), F.col("event_id").asc()], "position")
 
 
 def weekly_roster(items: DataFrame, *, fill: int = WEEKLY_FILL, floor: int = WEEKLY_FLOOR) -> DataFrame:
@@ -35,32 +40,29 @@ def weekly_roster(items: DataFrame, *, fill: int = WEEKLY_FILL, floor: int = WEE
     category, ord.  Multi-source events are never cut.
     """
     rows = model_rank(items.where("event_id is not null")).withColumn("multi", F.col("source_count") > 1)
-    group = [F.desc("days_covered"), F.col("position")]
-    by_category = Window.partitionBy("category")
-    rows = (
-        rows.withColumn("_multi", F.count_if("multi").over(by_category))
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("category", "multi").orderBy(*group)))
-        .withColumn("_kept", F.col("multi") | (F.col("_nth") <= F.greatest(F.lit(0), F.lit(floor) - F.col("_multi"))))
-        .withColumn("_n", F.count_if("_kept").over(Window.partitionBy()))
-        .withColumn("_rest", F.row_number().over(Window.partitionBy("_kept").orderBy(*group)))
-    )
-    chosen = rows.where(F.col("_kept") | (F.col("_rest") <= F.lit(fill) - F.col("_n")))
-    order = Window.orderBy(F.desc("multi"), *group)
-    return chosen.withColumn("slot", F.row_number().over(order)).drop("_multi", "_nth", "_kept", "_n", "_rest")
+    multi, single = rows.where("multi"), rows.where("not multi")
+    order = [F.desc("days_covered"), F.col("position").asc()]
+    counts = multi.groupBy(F.col("category").alias("_c")).agg(F.count(F.lit(1)).alias("_m"))
+    lead = single.withColumn("_nth", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where(F.col("_nth") <= floor)
+    lead = lead.join(counts, F.col("category").eqNullSafe(F.col("_c")), "left").where(
+        F.col("_nth") <= F.lit(floor) - F.coalesce("_m", F.lit(0))).drop("_nth", "_c", "_m")
+    kept = multi.unionByName(lead)
+    left = max(0, fill - kept.count())
+    more = single.join(lead.select("event_id"), "event_id", "left_anti").orderBy(*order).limit(left).select(*rows.columns)
+    return with_positions(kept.unionByName(more), [F.desc("multi"), *order], "slot")
 
 
 def monthly_roster(items: DataFrame, *, most: int = MONTHLY_MOST, least: int = MONTHLY_LEAST) -> DataFrame:
     """Events of several sources or days, at most ``most``; filled up to ``least``."""
     rows = model_rank(items.where("event_id is not null")).withColumn("multi", F.col("source_count") > 1)
-    rows = rows.withColumn("_able", F.col("multi") | (F.col("days_covered") >= 2))
-    order = Window.partitionBy("_able").orderBy(F.desc("multi"), F.desc("days_covered"), "position")
-    rows = rows.withColumn("_nth", F.row_number().over(order)).withColumn("_in", F.col("_able") & (F.col("_nth") <= most))
-    rows = rows.withColumn("_n", F.count_if("_in").over(Window.partitionBy())).withColumn(
-        "_fill", F.row_number().over(Window.partitionBy("_in").orderBy("position"))
-    )
-    chosen = rows.where(F.col("_in") | (F.col("_fill") <= F.lit(least) - F.col("_n")))
-    slots = Window.orderBy(F.desc("_in"), F.when(F.col("_in"), F.col("_nth")).otherwise(F.col("_fill")))
-    return chosen.withColumn("slot", F.row_number().over(slots)).drop("_able", "_nth", "_in", "_n", "_fill")
+    able = F.col("multi") | (F.col("days_covered") >= 2)
+    order = [F.desc("multi"), F.desc("days_covered"), F.col("position").asc()]
+    chosen = rows.where(able).orderBy(*order).limit(most).withColumn("_in", F.lit(True))
+    left = max(0, least - chosen.count())
+    more = rows.where(~F.coalesce(able, F.lit(False))).orderBy("position").limit(left).withColumn("_in", F.lit(False))
+    own = [F.desc("_in"), *[F.when(F.col("_in"), c).desc() for c in (F.col("multi"), F.col("days_covered"))], F.col("position").asc()]
+    slots = Window.orderBy(*own)  # at most ``most`` or ``least`` rows
+    return chosen.unionByName(more).withColumn("slot", F.row_number().over(slots)).drop("_in")
 
 
 def daily_order(items: DataFrame) -> DataFrame:

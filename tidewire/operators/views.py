@@ -40,19 +40,22 @@ def all_events(
     Event facts come from the membership table; event-level overrides hold for
     the main article alone.  The two outer joins on membership are one join
     whose main side is a condition, and "an event with a selected member" is a
-    semi-join set, not a correlated lookup.
+    semi-join set, not a correlated lookup.  Both start from the memberships
+    of the window's articles and the events these meet.
     """
     lower, upper = day_bounds(start, end)
     window = raw.where((F.col("published_at") >= F.lit(lower)) & (F.col("published_at") < F.lit(upper)))
+    inside = membership.join(window.select("article_id"), "article_id", "left_semi")
+    met = inside.select("event_id").distinct()
     chosen = (
-        membership.select("event_id", F.col("article_id").alias("_a"))
+        membership.join(met, "event_id", "left_semi").select("event_id", F.col("article_id").alias("_a"))
         .join(processed.where("status = 'processed'").select(F.col("article_id").alias("_a")), "_a")
         .select("event_id").distinct().withColumn("event_selected", F.lit(True))
     )
     events = clusters.select("event_id", F.col("source_count").alias("event_source_count"),
                              F.col("last_seen_at").alias("event_last_seen"), F.col("final_score").alias("event_score"))
     facts = (
-        membership.select("article_id", "event_id", "is_main")
+        inside.select("article_id", "event_id", "is_main")
         .join(events, "event_id")
         .join(chosen, "event_id", "left")
         .join(event_overrides.select("event_id", F.col("hidden").alias("ev_hidden"), F.col("title").alias("ev_title"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -15,8 +16,9 @@ from tidewire.functions.time import day_bounds, local_day, period_key, window_st
 from tidewire.functions.vector import cosine, norm
 from tidewire.operators import cluster, graph, ledger, normalize, rank, upsert, views
 from tidewire.plans import bindings as B
-from tidewire.session import table
+from tidewire.session import checkpoint_folder, table
 from tidewire.sources import feeds
+from tidewire.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -409,18 +411,16 @@ def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
         "similarity", F.round(F.col("similarity") * 10000).cast("long"))
 
 
-def _members(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf)
-    return v.where("id < 60").select((F.col("id") % 20).alias("event_id"), F.col("id").alias("member_id"), "vec")
-
-
 @query("nearest_events", """
-SELECT article_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY weakest DESC, event_id DESC) AS p FROM (
-  SELECT a.vec_id AS article_id, m.vec_id % 20 AS event_id, min(list_cosine_similarity(a.embedding::DOUBLE[], m.embedding::DOUBLE[])) AS weakest
-  FROM embeddings a JOIN embeddings m ON m.vec_id < 60 AND a.vec_id <> m.vec_id GROUP BY ALL) WHERE weakest >= 0.05) WHERE p = 1""", bound=False)
+SELECT article_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY weakest DESC, event_id DESC) AS place FROM (
+  SELECT a.vec_id AS article_id, m.label AS event_id, min(list_cosine_similarity(a.embedding::DOUBLE[], m.embedding::DOUBLE[])) AS weakest
+  FROM embeddings a JOIN embeddings m ON a.vec_id <> m.vec_id AND abs(a.vec_id - m.vec_id) * 37 <= 72 * 60 GROUP BY ALL) WHERE weakest >= -0.05) WHERE place <= 2""", bound=False)
 def nearest_events(spark: SparkSession, sf: str) -> DataFrame:
-    articles = _vectors(spark, sf).select(F.col("id").alias("article_id"), "vec")
-    return cluster.nearest_events(articles, _members(spark, sf), threshold=0.05).select("article_id", "event_id")
+    v = _vectors(spark, sf)
+    members = v.select("event_id", F.col("id").alias("member_id"), "vec", "ts")
+    articles = v.select(F.col("id").alias("article_id"), "vec", "ts")
+    return cluster.nearest_events(articles, members, threshold=-0.05, k=2, span_hours=72).select(
+        "article_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
 @query("nearest_recent_events", """
@@ -434,11 +434,15 @@ def nearest_recent_events(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.nearest_events(articles, members, threshold=0.05, span_hours=cluster.SPAN_HOURS).select("article_id", "event_id")
 
 
-@query("centroid_recall")
+@query("centroid_recall", """
+WITH parts AS (SELECT label AS event_id, p, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY ALL),
+means AS (SELECT event_id, list(x ORDER BY p) AS centroid FROM parts GROUP BY event_id)
+SELECT article_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY affinity DESC, event_id) AS place FROM (
+  SELECT vec_id AS article_id, event_id, list_cosine_similarity(embedding::DOUBLE[], centroid) AS affinity FROM embeddings, means) WHERE affinity >= 0.2) WHERE place <= 2""", bound=False)
 def centroid_recall(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     articles = v.select(F.col("id").alias("article_id"), "vec")
-    return cluster.centroid_recall(articles, cluster.centroids(v.select("event_id", "vec")), floor=0.2).select("article_id", "event_id", "place")
+    return cluster.centroid_recall(articles, cluster.centroids(v.select("event_id", "vec")), floor=0.2).select("article_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
 @query("reference_matches", """
@@ -551,7 +555,10 @@ def usage_cost(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.usage_cost(_usage(spark, sf), prices)
 
 
-@query("health_average")
+@query("health_average", """, log AS (SELECT event_id AS source_id, ts, article_id, CASE WHEN source_key <> 'error' THEN 1 ELSE 0 END AS ok,
+  row_number() OVER (PARTITION BY event_id ORDER BY ts, article_id) AS n FROM reports)
+SELECT source_id, list_reduce(list(CAST(ok * 10000 AS BIGINT) ORDER BY n), lambda a, x: CAST(round(0.8 * a + 0.2 * x) AS BIGINT)) / 10000.0::DOUBLE AS success_rate,
+  CAST(count(*) - coalesce(max(n) FILTER (ok = 1), 0) AS INTEGER) AS error_count, count(*) AS observations FROM log GROUP BY source_id""")
 def health_average(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.reports(spark, sf).select(F.col("event_id").alias("source_id"), "ts", F.col("article_id").alias("ord"), (F.col("source_key") != "error").alias("ok"))
     return ledger.health_average(rows)
@@ -636,11 +643,10 @@ DAILY_SQL = f""", daily AS (SELECT CAST(event_id AS VARCHAR) AS event_id, {DAY.f
   article_id % 4 AS source_count, source_key AS title FROM reports)"""
 
 
-@query("daily_two_tier", f"""{DAILY_SQL} SELECT strftime(report_date, '%Y-%m-%d') AS report_date, pos, row_number() OVER (PARTITION BY report_date ORDER BY source_count > 1 DESC, final_score DESC NULLS LAST, event_id, pos) AS slot FROM daily""")
+@query("daily_two_tier", f"""{DAILY_SQL} SELECT strftime(report_date, '%Y-%m-%d') AS report_date, pos, row_number() OVER (PARTITION BY report_date ORDER BY source_count > 1 DESC, final_score DESC NULLS LAST, event_id || '-' || lpad(pos::VARCHAR, 12, '0')) AS slot FROM daily""")
 def daily_two_tier(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _daily(spark, sf).withColumn("event_id", F.concat("event_id", F.lit("")))
-    order = Window.partitionBy("report_date").orderBy((F.col("source_count") > 1).desc(), F.desc("final_score"), "event_id", "pos")
-    return rows.select(F.col("report_date").cast("string").alias("report_date"), "pos", F.row_number().over(order).cast("long").alias("slot"))
+    rows = _daily(spark, sf).withColumn("event_id", F.concat("event_id", F.lit("-"), F.lpad(F.col("pos").cast("string"), 12, "0")))
+    return rank.daily_order(rows).select(F.col("report_date").cast("string").alias("report_date"), "pos", F.col("slot").cast("long").alias("slot"))
 
 
 @query("merge_dailies", f"""{DAILY_SQL} SELECT event_id, arg_max(title, (report_date, pos)) AS title, arg_max(final_score, (report_date, pos)) AS final_score,
@@ -707,12 +713,16 @@ def manual_entries(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.manual_entries(entries, o).select(F.col("report_date").cast("string").alias("report_date"), F.col("position").cast("long").alias("position"), "event_id")
 
 
-@query("stream_replay")
+@query("stream_replay", """SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01 16:00:00')) AS day_start, event_id, count(*) AS reports, count(DISTINCT source_key) AS sources
+FROM reports GROUP BY ALL""")
 def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch twin of the windowed stream: what a replay has to equal."""
-    rows = B.reports(spark, sf)
-    return rows.groupBy(F.window("ts", "1 day", startTime="16 hours").alias("w"), "event_id").agg(F.count(F.lit(1)).alias("reports")).select(
-        F.unix_micros("w.start").alias("day_start"), "event_id", "reports")
+    """The windowed stream itself, run over all events that are there."""
+    events = table(spark, sf, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").select(
+        F.col("user_id").alias("event_id"), F.col("event_type").alias("source_key"), F.col("ts").cast("timestamp").alias("ts"))
+    folder = f"{checkpoint_folder(spark)}/replay-{uuid.uuid4().hex}"
+    return intake.replayed(intake.daily_coverage(stream), folder).select(
+        F.unix_micros("day_start").alias("day_start"), "event_id", "reports", "sources")
 
 
-from tidewire.plans import more  # noqa: E402,F401  registers its queries here too
+from tidewire.plans import more, upkeep  # noqa: E402,F401  register their queries here too

@@ -28,16 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the checkpoint folder, which cuts its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is what ``spark.checkpoint.dir`` names.  Where it is unset and
-    the master is local (tests, a laptop), a private one is made; on a cluster
-    its absence is an error, since executors would not share it.
+    Where it is unset and the master is local (tests, a laptop), a private one
+    is made; on a cluster its absence is an error, since executors would not
+    share it.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewire-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` stored in the checkpoint folder, which cuts its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

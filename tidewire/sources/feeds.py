@@ -161,7 +161,7 @@ def parse_papers(dumps: DataFrame) -> DataFrame:
     paper = "STRUCT<id: STRING, title: STRING, summary: STRING, publishedAt: STRING, submittedOnDailyAt: STRING, authors: ARRAY<STRUCT<name: STRING>>>"
     schema = f"ARRAY<STRUCT<paper: {paper}, publishedAt: STRING>>"
     rows = dumps.select("source_id", F.posexplode(F.from_json("body", schema)).alias("pos", "p"))
-    authors = F.array_join(F.slice(F.transform("p.paper.authors", lambda a: a.name), 1, 5), ", ")
+    authors = F.array_join(F.slice(F.transform("p.paper.authors", lambda a: a["name"]), 1, 5), ", ")
     return rows.where("p.paper.title is not null").select(
         "source_id", "pos", F.col("p.paper.id").alias("paper_id"), T.clean_text(F.col("p.paper.title")).alias("title"),
         T.clean_text(F.col("p.paper.summary")).alias("content"), authors.alias("author"),
@@ -176,16 +176,29 @@ def parse_posts(dumps: DataFrame) -> DataFrame:
     return rows.where("id is not null and title is not null and handle is not null").where(english)
 
 
+def _rss(df: DataFrame, config: dict) -> DataFrame:
+    return parse_rss(df, zone=config.get("timezone"))
+
+
+#: One signature for all source types: captured responses and the source's settings.
 READERS = {
-    "rss": parse_rss, "telegram_rss": parse_rss, "sitemap": parse_sitemap, "hn": parse_news_hits, "v2ex": parse_forum_topics,
-    "sourcepilot": parse_aggregator_items, "github_trending": parse_trending_repos, "huggingface_papers": parse_papers,
-    "attentionvc": parse_posts,
+    "rss": _rss,
+    "telegram_rss": _rss,
+    "sitemap": lambda df, c: parse_sitemap(df, c.get("path_prefix", "/")),
+    "hn": lambda df, c: parse_news_hits(
+        df, terms=c.get("terms", []), least_points=c.get("min_points", 5), least_comments=c.get("min_comments", 3)),
+    "v2ex": lambda df, c: parse_forum_topics(
+        df, terms=c.get("terms", []), least_replies=c.get("min_replies", 0), limit=c.get("limit", 20)),
+    "sourcepilot": lambda df, c: parse_aggregator_items(df, recent_days=c.get("recent_days", 0), today=c.get("today", "1970-01-01")),
+    "github_trending": lambda df, c: parse_trending_repos(df, terms=c.get("terms", [])),
+    "huggingface_papers": lambda df, c: parse_papers(df),
+    "attentionvc": lambda df, c: parse_posts(df),
 }
 
 
 def reader_for(kind: str):
-    """The reader of a source type; feeds are the default."""
-    return READERS.get(kind, parse_rss)
+    """The reader (df, config) -> rows of a source type; feeds are the default."""
+    return READERS.get(kind, _rss)
 
 
 def read_articles(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators.upsert import upsert
-
 LATE = "3 days"
 
 
@@ -26,11 +24,12 @@ def deduplicated(stream: DataFrame, key: str, ts: str) -> DataFrame:
 def daily_coverage(stream: DataFrame) -> DataFrame:
     """Reports and sources of each event by local day.
 
-    A local day begins at 16:00 UTC.
+    A local day begins at 16:00 UTC.  The state holds the sources of an event's
+    day, so their number is exact.
     """
     day = F.window("ts", "1 day", startTime="16 hours")
     return stream.withWatermark("ts", LATE).groupBy(day.alias("w"), "event_id").agg(
-        F.count(F.lit(1)).alias("reports"), F.approx_count_distinct("source_key").alias("sources")
+        F.count(F.lit(1)).alias("reports"), F.size(F.collect_set("source_key")).cast("long").alias("sources")
     ).select(F.col("w.start").alias("day_start"), "event_id", "reports", "sources")
 
 
@@ -52,24 +51,55 @@ def health_stream(stream: DataFrame) -> DataFrame:
         "rate double, errors int, n long", "update", "NoTimeout")
 
 
-def upsert_sink(path: str, key: str):
+def upsert_sink(path: str, key: str, *, order: tuple[str, ...] = ("ts", "event_id")):
     """A foreachBatch function: a keyed merge into a versioned Parquet table.
 
-    Each batch writes its own version and a marker; a batch that is sent again
-    finds its marker and does nothing.
+    The row with the greatest ``order`` stays, whichever batch brings it.  Each
+    batch writes a version of its own, named by the query and the batch number,
+    after the newest finished one; a batch that is sent again finds its version
+    and does nothing.  A query with a new checkpoint has another name, so its
+    numbers, which start anew, are not taken for done.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-        version = fs.Path(f"{path}/v={number}")
-        system = version.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if system.exists(fs.Path(version, "_SUCCESS")):
+        root = fs.Path(path)
+        system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        done = []
+        for status in system.listStatus(root) if system.exists(root) else []:
+            name = status.getPath().getName()
+            if name.startswith("v=") and system.exists(fs.Path(status.getPath(), "_SUCCESS")):
+                done.append((int(name[2:].split("-", 1)[0]), name))
+        if any(name.endswith(f"-{query}-{number}") for _, name in done):
             return
-        latest = batch.groupBy(key).agg(F.max_by(F.struct("*"), F.struct("ts", "event_id")).alias("x")).select("x.*")
-        before = fs.Path(f"{path}/v={number - 1}")
-        rows = latest
-        if system.exists(before):
-            rows = upsert(spark.read.parquet(before.toString()), latest, key)
-        rows.write.mode("overwrite").parquet(version.toString())
+        rows = batch
+        if done:
+            rows = spark.read.parquet(f"{path}/{max(done)[1]}").unionByName(batch)
+        latest = rows.groupBy(key).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("x")).select("x.*")
+        version = max(done)[0] + 1 if done else 0
+        latest.write.mode("overwrite").parquet(f"{path}/v={version:08d}-{query}-{number}")
 
     return write
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """What the sink's newest finished version holds."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in system.listStatus(root)]
+    done = [p.getName() for p in names if p.getName().startswith("v=") and system.exists(fs.Path(p, "_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{max(done)}")
+
+
+def replayed(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stateful stream over all that is there, and read its last result."""
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out-{number:08d}")
+
+    run = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(store)
+    handle = run.trigger(availableNow=True).start()
+    handle.awaitTermination()
+    last = handle.lastProgress["batchId"] if handle.lastProgress else 0
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out-{last:08d}")
