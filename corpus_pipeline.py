@@ -4,6 +4,12 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last return the columns of ``documents``.  ``run`` writes what a stage returns
 as Parquet in the shared folder and reads it again for the next one, so a lost
 executor never reaches back beyond a stage.
+
+Defined results: null and empty texts, and texts without a letter, go in the
+first stage; null ids rank last and rows that repeat an id and a text are one
+group in the second; a null source is a source of its own in the fourth; empty
+tables give an empty result; whole texts are read at any length; columns beside
+those of ``documents`` pass through, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -52,8 +58,8 @@ STAGES = [
     ("token_ids", token_stage),
 ]
 
-#: Language ID, MinHash and the tokenizer have no SQL form; the stages are
-#: tested against brute force instead.
+#: Language ID, MinHash and the tokenizer have no SQL form; the chain is tested
+#: against slow twins of its stages instead.
 ORACLE_SQL = None
 
 
