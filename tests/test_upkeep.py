@@ -80,3 +80,29 @@ def test_deletion_cascades(spark):
 def test_body_present(spark):
     rows = spark.createDataFrame([(["", None], 1), (["x"], 1), (None, 0)], "notes array<string>, n int")
     assert [r[0] for r in rows.select(A.body_present(rows.notes, rows.n)).collect()] == [False, True, True]
+
+
+def test_blocked_pairs_equal_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from tidewire.operators import cluster
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 7)
+    rows = [(i, rng.normal(size=4 if i % 9 else 3).tolist(), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(rng.integers(0, 4000)))) for i in range(90)]
+    rows += [(90, None, rows[0][2]), (91, [0.0] * 4, rows[0][2])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, ts timestamp")
+
+    def brute(span):
+        out = set()
+        for i, v, t in rows:
+            for j, w, s in rows:
+                if i < j and v and w and len(v) == len(w) and any(v) and any(w) and (span is None or abs((t - s).total_seconds()) <= span * 3600):
+                    c = float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+                    if c >= 0.5:
+                        out.add((i, j, round(c, 6)))
+        return out
+
+    for span in (None, 6, 24):
+        got = [(r.a, r.b, round(r.similarity, 6)) for r in cluster.similar_pairs(df, threshold=0.5, span_hours=span).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(span)

@@ -18,30 +18,73 @@ from tidewire.operators.views import ROLE_RANK, TIER_RANK, ranked
 SPAN_HOURS = 24
 RECALL_FLOOR = 0.80
 BLOCK_EVENTS = 20_000
+BLOCK_ROWS = 1000
 
 
 def similar_pairs(vectors: DataFrame, *, threshold: float, span_hours: float | None = None) -> DataFrame:
     """(a, b, similarity) with a < b and cosine of at least ``threshold``.
 
     With a span, rows meet only in the same or the next time band, so the work
-    follows the density of the feed; without one every pair is compared, for
-    small or pre-filtered sets.  Norms are computed once for each vector.
+    follows the density of the feed; without one all rows are one band.  A band
+    is cut into blocks of about ``BLOCK_ROWS`` rows, and each pair of blocks is
+    one product of two matrices; only pairs over the threshold are rows.  So a
+    band of any density is many tasks of bounded size.
     """
-    rows = vectors.select("id", "vec", norm(F.col("vec")).alias("norm"), *(["ts"] if span_hours else []))
-    if span_hours:
-        seconds = int(span_hours * 3600)
-        band = F.floor(F.unix_timestamp("ts") / seconds)
-        left = rows.withColumn("band", band)
-        right = rows.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-        on = "l.band = r.band and l.id < r.id and abs(unix_micros(l.ts) - unix_micros(r.ts)) <= " + str(seconds * 10**6)
-    else:
-        left = right = rows
-        on = "l.id < r.id"
-    joined = left.alias("l").join(right.alias("r"), F.expr(on))
-    score = cosine(F.col("l.vec"), F.col("r.vec"), F.col("l.norm"), F.col("r.norm"))
-    return joined.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), score.alias("similarity")).where(
-        F.col("similarity") >= threshold
-    )
+    seconds = int(span_hours * 3600) if span_hours else None
+    band = F.floor(F.unix_timestamp("ts") / seconds) if seconds else F.lit(0).cast("long")
+    rows = vectors.select("id", "vec", (F.unix_micros("ts") if seconds else F.lit(0).cast("long")).alias("at"), band.alias("band"))
+    blocks = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("n"))
+    near = lambda by, name: blocks.select((F.col("band") + by).alias("band"), F.col("n").alias(name))
+    rows = rows.join(near(0, "own"), "band").join(near(-1, "after"), "band", "left").join(near(1, "before"), "band", "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
+    zero = F.lit(0)
+    every = lambda n: F.when(F.coalesce(n, zero) > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def met(others, role: int, left, right):
+        return F.transform(others, lambda t: F.struct(*left(t), *right(t), F.lit(role).alias("role")))
+
+    lead = lambda b, t: (F.col("band").alias("b1") if b is None else b.alias("b1"), t.alias("s1"))
+    last = lambda b, t: (b.alias("b2"), t.alias("s2"))
+    here, mine = F.col("band"), F.col("block")
+    parts = [
+        met(F.filter(every(F.col("own")), lambda t: t >= mine), 0, lambda t: lead(None, mine), lambda t: last(here, t)),
+        met(F.filter(every(F.col("own")), lambda t: t <= mine), 1, lambda t: lead(None, t), lambda t: last(here, mine)),
+    ]
+    if seconds:
+        parts += [
+            met(every(F.col("after")), 0, lambda t: lead(None, mine), lambda t: last(here + 1, t)),
+            met(every(F.col("before")), 1, lambda t: lead(here - 1, t), lambda t: last(here, mine)),
+        ]
+    dealt = rows.select("id", "vec", "at", F.explode(F.concat(*parts)).alias("p")).select("id", "vec", "at", "p.*")
+    kind = vectors.schema["id"].dataType.simpleString()
+    return dealt.groupBy("b1", "s1", "b2", "s2").applyInPandas(
+        _block_pairs(threshold, seconds), f"a {kind}, b {kind}, similarity double")
+
+
+def _block_pairs(threshold: float, seconds: int | None):
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one block pair; a block with itself gives each pair once."""
+        same = key[0] == key[2] and key[1] == key[3]
+        pdf = pdf[pdf.vec.notna()]
+        widths, out = pdf.vec.map(len), []
+        for width in widths.unique():
+            left, right = (pdf[(pdf.role == r) & (widths == width)] for r in (0, 1))
+            if not len(left) or not len(right):
+                continue
+            u, v = (np.stack([np.asarray(x, float) for x in side.vec]) for side in (left, right))
+            u, v = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1) for m in (u, v))
+            score = u @ v.T
+            keep = score >= threshold
+            if seconds is not None:
+                keep &= np.abs(left["at"].to_numpy()[:, None] - right["at"].to_numpy()[None, :]) <= seconds * 10**6
+            i, j = np.nonzero(keep)
+            x, y = left.id.to_numpy()[i], right.id.to_numpy()[j]
+            once = x < y if same else x != y
+            x, y, near = x[once], y[once], score[i, j][once]
+            out.append(pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "similarity": near}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+
+    return pairs
 
 
 def nearest_events(

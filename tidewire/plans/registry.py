@@ -725,4 +725,4 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
         F.unix_micros("day_start").alias("day_start"), "event_id", "reports", "sources")
 
 
-from tidewire.plans import more, upkeep  # noqa: E402,F401  register their queries here too
+from tidewire.plans import more, records, upkeep  # noqa: E402,F401  register their queries here too
