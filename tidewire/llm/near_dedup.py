@@ -94,7 +94,7 @@ def half_keys(flat: np.ndarray, starts: np.ndarray, m: int, half: int = HALF) ->
 def _signer(shingle: int, m: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
+            for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 256)
                 sets, digests = [], []
                 for text in raw_texts(part.column(2)):
@@ -128,7 +128,7 @@ def _linker(shingle: int, percent: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, np.zeros(0, U64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
+            for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 256)
                 linked = []
                 hubs = part.column(0).to_pylist()
@@ -199,7 +199,7 @@ def _prefixer(shingle: int, percent: int, uri: str):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = mapped(uri, "<i4")
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
+            for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 256)
                 chosen, sketches = [], []
                 for text in raw_texts(part.column(3)):
