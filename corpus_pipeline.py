@@ -23,15 +23,18 @@ from tidewire.llm.mixing import mixed
 from tidewire.llm.near_dedup import representatives
 from tidewire.llm.storage import work_folder, written
 from tidewire.llm.token_files import token_id_output
+from tidewire.session import ensure_importable
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier doesn't reject."""
+    ensure_importable(spark)
     return accepted(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, 0.8 or more."""
+    ensure_importable(spark)
     return representatives(docs, shingle=5, percent=80)
 
 
@@ -47,6 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and per document what they hold."""
+    ensure_importable(spark)
     return token_id_output(docs, tokenizer_path())
 
 
