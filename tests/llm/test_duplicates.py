@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidewire.llm import near_dedup
 from tidewire.llm.near_dedup import near_duplicate_report, representatives, table_side
 from tidewire.llm.substring_dedup import repeated_units, without_repeats
 
@@ -131,3 +134,24 @@ def test_first_occurrence_of_every_sentence_stays(spark):
             shared = [s for s in block if s in other]
             if sum(len(s.split()) for s in shared) >= 16:
                 assert not any(f" {s} " in f" {' '.join(got[i].split())} " for s in shared)
+
+
+def test_row_functions_give_each_row_of_a_long_batch_once(tmp_path):
+    n = 5 * near_dedup.SLICE_ROWS + 7
+    ids = pa.array(range(n), pa.int64())
+    texts = pa.array([f"a b c d{i} e f g" for i in range(n)])
+    signed = near_dedup._signer(3, 4)(iter([pa.record_batch([ids, ids, texts], ["doc_id", "text_hash", "text"])]))
+    assert [i for part in signed for i in part.column(0).to_pylist()] == list(range(n))
+    linked = near_dedup._linker(3, 85)(iter([pa.record_batch([ids, ids, texts, texts], ["src", "dst", "src_text", "dst_text"])]))
+    assert [i for part in linked for i in part.column(1).to_pylist()] == list(range(n))
+    np.zeros(1 << near_dedup.ORDER_BITS, "<i4").tofile(tmp_path / "rarity")
+    rows = near_dedup._prefixer(3, 85, str(tmp_path / "rarity"))(iter([pa.record_batch([ids, ids, ids, texts], ["node", "n", "comp", "text"])]))
+    own = [i for part in rows for i in part.column(0).to_pylist()]
+    assert sorted(set(own)) == list(range(n)) and len(own) == n * (own.count(0))
+
+
+def test_report_has_one_row_for_each_of_many_in_a_partition(spark):
+    rows = [(i, f"a{i % 150} b{i % 150} c{i % 150} d e f") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicate_report(df).collect())
+    assert got == brute_components(rows)

@@ -59,6 +59,7 @@ HUB_ROUNDS = 4
 HUB_ORDERS = 8
 SKETCH_BITS = 256
 KEYS_PER_TASK = 500_000
+SLICE_ROWS = 64
 
 
 def table_side(threshold: float, *, half: int = HALF, miss: float = MISS) -> int:
@@ -94,8 +95,8 @@ def half_keys(flat: np.ndarray, starts: np.ndarray, m: int, half: int = HALF) ->
 def _signer(shingle: int, m: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
                 sets, digests = [], []
                 for text in raw_texts(part.column(2)):
                     words = text.lower().split() if text else []
@@ -128,8 +129,8 @@ def _linker(shingle: int, percent: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_set = None, np.zeros(0, U64)
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
                 linked = []
                 hubs = part.column(0).to_pylist()
                 for own, hub_text, text in zip(
@@ -199,8 +200,8 @@ def _prefixer(shingle: int, percent: int, uri: str):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = mapped(uri, "<i4")
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(first, SLICE_ROWS)
                 chosen, sketches = [], []
                 for text in raw_texts(part.column(3)):
                     own = shingle_set(text.lower().split(), shingle)
