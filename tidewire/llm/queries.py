@@ -13,7 +13,9 @@ from .language_id import language_ids
 from .language_model import language_model_scores
 from .mixing import mixing_report
 from .near_dedup import near_duplicate_report
+from .piece_codec import codec_digests
 from .substring_dedup import repeated_units
+from .token_alignment import alignment_report
 from .token_files import token_id_output
 from .token_rollup import rollup_history
 from .toxicity import toxicity_scores
@@ -59,6 +61,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment_report(table(spark, sf_dir, "documents"), first, second)
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
