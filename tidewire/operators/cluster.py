@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.functions.vector import cosine, norm
-from tidewire.operators.graph import connected_labels
+from tidewire.operators.greedy import grouped
 from tidewire.operators.positions import with_positions
-from tidewire.operators.views import ROLE_RANK, TIER_RANK, ranked
+from tidewire.operators.views import ROLE_RANK, TIER_RANK, cluster_id, ranked
 
 SPAN_HOURS = 24
 RECALL_FLOOR = 0.80
@@ -189,87 +187,37 @@ def merge_rank(events: DataFrame) -> DataFrame:
     return with_positions(events, order, "merge_rank")
 
 
-def _greedy(rows: pd.DataFrame, threshold: float, span: float | None) -> list[list[int]]:
-    """Groups of row numbers: exact references first, else complete linkage."""
-    groups: list[list[int]] = []
-    vectors: list[list[np.ndarray]] = []
-    keys: list[set[str]] = []
-    bounds: list[list[float]] = []
-    for i, row in enumerate(rows.itertuples()):
-        t = row.ts.timestamp()
-        own = set(row.keys) if row.keys is not None else set()
-        vector = None if row.vec is None else np.asarray(row.vec, float)
-        fits = [g for g, (lo, hi) in enumerate(bounds) if span is None or max(hi, t) - min(lo, t) <= span * 3600]
-        at = next((g for g in fits if own & keys[g]), None)
-        if at is None and vector is not None:
-            size = np.linalg.norm(vector)
-            best = None
-            for g in fits:
-                if vectors[g]:
-                    weakest = min(
-                        float(vector @ o / (size * np.linalg.norm(o))) if len(o) == len(vector) and size > 0 and np.linalg.norm(o) > 0 else 0.0
-                        for o in vectors[g]
-                    )
-                    if weakest >= threshold and (best is None or (weakest, g) > best):
-                        best = (weakest, g)
-            at = best[1] if best else None
-        if at is None:
-            groups.append([])
-            vectors.append([])
-            keys.append(set())
-            bounds.append([t, t])
-            at = len(groups) - 1
-        groups[at].append(i)
-        keys[at] |= own
-        bounds[at] = [min(bounds[at][0], t), max(bounds[at][1], t)]
-        if vector is not None:
-            vectors[at].append(vector)
-    return groups
-
-
-def cluster_articles(articles: DataFrame, *, threshold: float = 0.90, span_hours: float = SPAN_HOURS) -> DataFrame:
-    """(article_id, event) by the greedy rule in order of publication.
+def cluster_articles(
+    articles: DataFrame, *, threshold: float = 0.90, span_hours: float | None = SPAN_HOURS, verdicts: DataFrame | None = None
+) -> DataFrame:
+    """(article_id, main_article_id, event_id) by the rule of ``greedy``.
 
     ``articles``: article_id, ts, ord, vec (null allowed), keys, and the rank
-    columns can_be_main, role, tier, final_score, content_length.  An article
-    joins an event only through a shared key or through similarity to all its
-    members, both within the span, so events never cross components of those
-    links.  Links are found distributed; only rows of one component meet, in
-    one ordered fold.
+    columns can_be_main, role, tier, final_score, content_length.  ``verdicts``
+    (low_id, high_id, same) are outside answers to whether two articles report
+    the same event; a pair without one is not the same.  With a table of them
+    similarity alone joins nothing, and the gray band opens; without one the
+    band stays closed.
     """
-    band = F.floor(F.unix_timestamp("ts") / int(span_hours * 3600))
-    by_key = articles.select("article_id", "ts", F.explode("keys").alias("key"), band.alias("band"))
-    hubs = by_key.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).groupBy("key", "band").agg(
-        F.min("article_id").alias("hub"))
-    key_links = by_key.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).join(hubs, ["key", "band"]).where(
-        "hub <> article_id").select(F.col("hub").alias("src"), F.col("article_id").alias("dst"))
-    vectors = articles.where("vec is not null").select(F.col("article_id").alias("id"), "vec", "ts")
-    near = similar_pairs(vectors, threshold=threshold, span_hours=span_hours).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    labels = connected_labels(key_links.union(near).distinct())
-    linked = articles.join(labels, articles.article_id == labels.node)
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "ord"], kind="stable").reset_index(drop=True)
-        out = []
-        for group in _greedy(pdf, threshold, span_hours):
-            rows = pdf.iloc[group]
-            rank = [(bool(r.can_be_main), ROLE_RANK.get(r.role, 0), TIER_RANK.get(r.tier, 0), r.final_score, r.ts,
-                     r.content_length, -n) for n, r in enumerate(rows.itertuples())]
-            main = rows.article_id.iloc[max(range(len(rank)), key=lambda n: rank[n])]
-            out += [(a, main, event_id(main)) for a in rows.article_id]
-        return pd.DataFrame(out, columns=["article_id", "main_article_id", "event_id"])
-
-    kind = articles.schema["article_id"].dataType.simpleString()
-    grouped = linked.groupBy("label").applyInPandas(fold, f"article_id {kind}, main_article_id {kind}, event_id string")
-    alone = articles.join(labels, articles.article_id == labels.node, "left_anti")
-    from tidewire.operators.views import cluster_id
-
-    single = alone.select("article_id", F.col("article_id").alias("main_article_id"), cluster_id(F.col("article_id")).alias("event_id"))
-    return grouped.unionByName(single)
-
-
-def event_id(main_article) -> str:
-    return "e" + hashlib.sha256(str(main_article).encode()).hexdigest()[:12]
+    both = [F.lit(0)]
+    by_key = articles.select("article_id", F.explode(F.array_distinct("keys")).alias("key"), F.lit(0).cast("long").alias("band"))
+    if span_hours is not None:
+        both = [F.lit(0), F.lit(1)]
+        by_key = articles.select("article_id", F.explode(F.array_distinct("keys")).alias("key"), F.floor(
+            F.unix_micros("ts") / F.lit(int(span_hours * 3600 * 10**6))).alias("band"))
+    by_key = by_key.withColumn("band", F.explode(F.array(*[F.col("band") + n for n in both])))
+    hubs = by_key.groupBy("key", "band").agg(F.min("article_id").alias("hub"))
+    links = by_key.join(hubs, ["key", "band"]).where("hub <> article_id").select(F.col("hub").alias("src"), F.col("article_id").alias("dst"))
+    if verdicts is None:
+        vectors = articles.where("vec is not null").select(F.col("article_id").alias("id"), "vec", "ts")
+        near = similar_pairs(vectors, threshold=threshold, span_hours=span_hours)
+        links = links.union(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = grouped(articles, links, threshold=threshold, span_hours=span_hours, verdicts=verdicts)
+    rank = F.struct(
+        F.col("can_be_main").cast("int").alias("lead"), ranked(F.col("role"), ROLE_RANK).alias("role"), ranked(F.col("tier"), TIER_RANK).alias("tier"),
+        "final_score", "ts", "content_length", (-F.col("ord")).alias("first"))
+    mains = found.join(articles, "article_id").groupBy("founder_id").agg(F.max_by("article_id", rank).alias("main_article_id"))
+    return found.join(mains, "founder_id").select("article_id", "main_article_id", cluster_id(F.col("main_article_id")).alias("event_id"))
 
 
 def text_affinity(pairs: DataFrame) -> DataFrame:
