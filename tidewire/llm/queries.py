@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, tokenizer_path
 from .decontamination import contamination
+from .filter_audit import filter_interactions
 from .hamming_search import embedding_search
 from .language_id import language_ids
 from .language_model import language_model_scores
@@ -66,6 +67,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(table(spark, sf_dir, "documents"), first, second)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -170,6 +175,40 @@ FROM (
 GROUP BY source, lang, tokenizer
 """
 
+_FILTER_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS earliest FROM texts),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > earliest THEN 16 ELSE 0 END AS m,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words LEFT JOIN known USING (doc_id)
+), cells AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, m
+), letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         CAST(coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0) AS INTEGER) AS before
+  FROM orders, range(1, 6) AS s(step)
+), counted AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (m & (before | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (m & bit <> 0 AND m & before = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (m & bit <> 0 AND m & before <> 0), 0) AS redundant, coalesce(sum(n) FILTER (m = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (m & bit <> 0 AND m & before = 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (m & bit <> 0 AND m & before = 0), 0) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
 _TOP_K_SQL = r"""
 WITH codes AS (
   SELECT DISTINCT vec_id AS id,
@@ -191,4 +230,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_token_counts": _ROLLUP_SQL,
         "op5_exact_top_k": _TOP_K_SQL,
         "op10_benchmark_decontamination": _CONTAMINATION_SQL,
+        "op12_filter_audit": _FILTER_SQL,
     }
