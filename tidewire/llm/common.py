@@ -9,7 +9,8 @@ from tidewire.session import table
 
 __all__ = ["bounded_sample", "fold", "table", "tokenizer_path"]
 
-MOST_KEYS = 2000
+#: Keys that a model is fitted for: 512 of op9's languages are 67 MB of centroids.
+MOST_KEYS = 512
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -23,12 +24,11 @@ def bounded_sample(rows: DataFrame, key: str, tag: str, per_key: int, *, most_ke
     ``tag`` is a 64-bit hash.  Rows are counted by key first, and only those
     whose tag is among the smallest ``2 * per_key`` or so of their key go on, so
     the window holds that many whatever the size of the table.  Rows with equal
-    key and tag are one row.  A model of more than ``most_keys`` keys would not
-    fit its broadcast, so that raises an error.
+    key and tag are one row.  What is fitted on the sample grows with the keys
+    and is broadcast, so the sample has the ``most_keys`` keys with the most
+    rows, of equals the first; rows of other keys are not sampled.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).limit(most_keys + 1).collect()
-    if len(counts) > most_keys:
-        raise ValueError(f"more than {most_keys} values of {key}")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), key).limit(most_keys).collect()
     shares = rows.sparkSession.createDataFrame(
         [(r[0], min(1.0, (2 * per_key + 64) / r._n)) for r in counts],
         f"`{key}` {rows.schema[key].dataType.simpleString()}, _share double",

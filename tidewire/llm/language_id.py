@@ -12,7 +12,9 @@ bytes (three lengths of each text), as a share of a low quantile of what the
 pieces reach.
 
 The classifier is fitted on at most ``ROWS_PER_LANGUAGE`` rows of each
-language, those with the smallest hash of the row; that bound is the only one.
+language, those with the smallest hash of the row, and for the ``MOST_KEYS``
+languages with the most rows, which bounds the model in bytes; a text of another
+language gets the nearest of these.
 n-grams are counted where the rows are, document frequencies are summed by
 slot, and each language is clustered by one task; the driver gets the
 centroids alone.

@@ -14,7 +14,8 @@ Defined results: a null or empty text has size 0; texts are read whole at any
 length; a null source is a source of its own and comes last; a source without
 words has target 0 and is not taken; the draw depends on the seed, the
 document id (null draws as an empty string) and the text; rows that repeat
-both draw by their place in the input as well, so each has a draw of its own; of
+both are counted by all their columns and numbered from 1, and the number draws
+as well, so each has a draw of its own whatever the layout of the input; of
 sources with equal ratios of cap and weight all or none reach the cap; an
 empty table gives an empty result; other columns pass through unread.
 """
@@ -73,17 +74,24 @@ def draw(doc_id: Column, text: Column, tie: Column, seed: str) -> Column:
 
 
 def _with_ties(docs: DataFrame, folder: str) -> DataFrame:
-    """``docs`` with ``_tie``: empty, or the place of a row that repeats id and text."""
+    """``docs`` with ``_tie``: empty, or the number of a row that repeats id and text.
+
+    Equal rows are interchangeable, so those that repeat are summed up, which
+    happens before they are shuffled, and laid out again with numbers.
+    """
     key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")]
     again = written(docs.select(*key).groupBy("_id", "_hash").count().where("count > 1").drop("count"), f"{folder}/again")
     n = again.count()
     if not n:
         return docs.withColumn("_tie", F.lit(""))
-    numbered = docs.withColumn("_at", F.monotonically_increasing_id())
+    again = F.broadcast(again) if n <= BROADCAST_SOURCES else again
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    marked = numbered.join(F.broadcast(again) if n <= BROADCAST_SOURCES else again, same, "left")
-    tie = F.when(F.col("_hash").isNull(), F.lit("")).otherwise(F.col("_at").cast("string"))
-    return marked.withColumn("_tie", tie).drop("_at", "_id", "_hash")
+    rows = [F.col(f"`{c}`") for c in docs.columns]
+    counted = docs.join(again, same, "left_semi").groupBy(*rows).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    other = [F.xxhash64(F.col(c)).cast("string") for c in docs.columns if c not in ("doc_id", "source", "text")]
+    numbered = numbered.select(*rows, F.concat_ws(":", F.col("_k").cast("string"), *other).alias("_tie"))
+    return docs.join(again, same, "left_anti").withColumn("_tie", F.lit("")).unionByName(numbered)
 
 
 def _with_targets(docs: DataFrame, targets: DataFrame) -> DataFrame:
