@@ -138,24 +138,3 @@ def test_centroid_recall_takes_every_member(spark, tmp_path):
         near = sorted((-c, e) for e, c in enumerate(row) if c >= 0.2)[:2]
         expected += [(i, e, n + 1) for n, (_, e) in enumerate(near)]
     assert got == sorted(expected) and {e for _, e, _ in got} == set(range(7))
-
-
-def test_nearest_events_in_bands_equals_brute_force(spark):
-    rng = np.random.default_rng(3)
-    vectors, hours = rng.normal(size=(120, 3)), np.sort(rng.integers(0, 400, 120))
-    rows = [(i, i % 4, vectors[i].tolist(), int(hours[i])) for i in range(120)]
-    df = spark.createDataFrame(rows, "id long, event_id long, vec array<double>, h int").withColumn(
-        "ts", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, h)"))
-    out = cluster.nearest_events(df.select(F.col("id").alias("article_id"), "vec", "ts"),
-                                 df.select("event_id", F.col("id").alias("member_id"), "vec", "ts"), threshold=0.05, span_hours=24)
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    expected = {}
-    for i in range(120):
-        weakest = {}
-        for j in range(120):
-            if i != j and abs(hours[i] - hours[j]) <= 24:
-                weakest[j % 4] = min(weakest.get(j % 4, 2), float(unit[i] @ unit[j]))
-        best = max(((w, e) for e, w in weakest.items() if w >= 0.05), default=None)
-        if best:
-            expected[i] = best[1]
-    assert {r.article_id: r.event_id for r in out.collect()} == expected and max(expected) > 60

@@ -8,14 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.functions.vector import cosine, norm
 from tidewire.operators.greedy import grouped
 from tidewire.operators.positions import with_positions
 from tidewire.operators.views import ROLE_RANK, TIER_RANK, cluster_id, ranked
 
 SPAN_HOURS = 24
-RECALL_FLOOR = 0.80
-BLOCK_EVENTS = 20_000
 BLOCK_ROWS = 1000
 
 
@@ -85,29 +82,6 @@ def _block_pairs(threshold: float, seconds: int | None):
     return pairs
 
 
-def nearest_events(
-    articles: DataFrame, members: DataFrame, *, threshold: float, k: int = 1, span_hours: float = SPAN_HOURS
-) -> DataFrame:
-    """Per article the events whose least similar recent member is similar enough.
-
-    ``articles``: article_id, vec, ts; ``members``: event_id, member_id, vec, ts.
-    An article meets the members within the span alone, through neighbouring
-    time bands, so work follows the density of the feed, not its length.
-    """
-    seconds = int(span_hours * 3600)
-    a = articles.select("article_id", "vec", norm(F.col("vec")).alias("norm"), "ts").withColumn(
-        "band", F.floor(F.unix_timestamp("ts") / seconds))
-    m = members.select("event_id", "member_id", F.col("vec").alias("mvec"), norm(F.col("vec")).alias("mnorm"), F.col("ts").alias("mts"))
-    band = F.floor(F.unix_timestamp("mts") / seconds)
-    m = m.withColumn("mband", F.explode(F.array(band - 1, band, band + 1)))
-    near = F.abs(F.unix_micros("ts") - F.unix_micros("mts")) <= seconds * 10**6
-    scored = a.join(m, (F.col("band") == F.col("mband")) & near & (F.col("article_id") != F.col("member_id"))).withColumn(
-        "similarity", cosine(F.col("vec"), F.col("mvec"), F.col("norm"), F.col("mnorm")))
-    links = scored.groupBy("article_id", "event_id").agg(F.min("similarity").alias("weakest")).where(F.col("weakest") >= threshold)
-    order = Window.partitionBy("article_id").orderBy(F.desc("weakest"), F.desc("event_id"))
-    return links.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
 def centroids(members: DataFrame) -> DataFrame:
     """Component means of each event's vectors of the usual width."""
     width = members.groupBy("event_id").agg(F.max(F.size("vec")).alias("_w"))
@@ -118,55 +92,6 @@ def centroids(members: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s.x).alias("centroid"))
 
 
-def centroid_recall(articles: DataFrame, events: DataFrame, *, floor: float = RECALL_FLOOR, k: int = 2) -> DataFrame:
-    """Per article the ``k`` events with the nearest centroids above the floor.
-
-    The events go in blocks of about ``BLOCK_EVENTS`` centroids, each of which
-    is one matrix of bounded size in a task; a block gives its own ``k`` best
-    of each article, so pairs are never rows.
-    """
-    blocks = -(-events.count() // BLOCK_EVENTS)
-    fields = {f.name: f.dataType.simpleString() for f in (articles.schema["article_id"], events.schema["event_id"])}
-    schema = f"article_id {fields['article_id']}, event_id {fields['event_id']}, affinity double"
-    found = []
-    for block in range(blocks):
-        some = events.where(F.pmod(F.xxhash64("event_id"), F.lit(blocks)) == block)
-        shared = articles.sparkSession.sparkContext.broadcast(
-            [(r.event_id, np.asarray(r.centroid, float)) for r in some.select("event_id", "centroid").collect()])
-        found.append(articles.select("article_id", "vec").mapInPandas(_nearest_centroids(shared, floor, k), schema))
-    if not found:
-        return articles.sparkSession.createDataFrame([], schema + ", place int")
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    order = Window.partitionBy("article_id").orderBy(F.desc("affinity"), "event_id")
-    return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-
-
-def _nearest_centroids(shared, floor: float, k: int):
-    def nearest(batches):
-        widths: dict[int, tuple[list, np.ndarray]] = {}
-        for name, vector in sorted(shared.value, key=lambda e: e[0]):
-            widths.setdefault(len(vector), ([], []))
-            widths[len(vector)][0].append(name)
-            widths[len(vector)][1].append(vector / (np.linalg.norm(vector) or 1.0))
-        tables = {n: (np.array(names, object), np.stack(rows)) for n, (names, rows) in widths.items()}
-        for batch in batches:
-            out = []
-            for article, vec in zip(batch.article_id, batch.vec, strict=True):
-                names, rows = tables.get(0 if vec is None else len(vec), (None, None))
-                if names is None:
-                    continue
-                vector = np.asarray(vec, float)
-                score = rows @ (vector / (np.linalg.norm(vector) or 1.0))
-                for at in np.argsort(-score, kind="stable")[:k]:
-                    if score[at] >= floor:
-                        out.append((article, names[at], float(score[at])))
-            yield pd.DataFrame(out, columns=["article_id", "event_id", "affinity"])
-
-    return nearest
-
-
 def reference_matches(articles: DataFrame, events: DataFrame) -> DataFrame:
     """Per article the best recent event that cites one of its sources.
 

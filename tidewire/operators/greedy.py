@@ -39,7 +39,7 @@ MOST_ROUNDS = 50
 RIVALS = "array<struct<recall: double, at: long, ord: long>>"
 
 
-def _units(vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(raw, unit, widths) of vectors, padded with zeros; width -1 for none."""
     widths = np.array([-1 if v is None else len(v) for v in vectors])
     raw = np.zeros((len(vectors), max(1, widths.max(initial=1))))
@@ -58,7 +58,7 @@ def founders(pdf: pd.DataFrame, threshold: float, span_hours: float | None, verd
     """For rows in order of publication the row that founded their event."""
     n = len(pdf)
     ids, keys = pdf.article_id.tolist(), pdf["keys"].tolist()
-    raw, unit, widths = _units(pdf.vec.tolist())
+    raw, unit, widths = unit_rows(pdf.vec.tolist())
     at = _micros(pdf.ts)
     order = list(zip(at.tolist(), pdf.ord.tolist(), strict=True))
     span = None if span_hours is None else int(span_hours * 3600 * 10**6)
@@ -154,26 +154,26 @@ def _rivals(waiting: DataFrame, members: DataFrame, threshold: float, span_hours
     band = lambda c: F.lit(0).cast("long") if seconds is None else F.floor(F.unix_micros(c) / F.lit(int(seconds * 10**6)))
     members = members.withColumn("band", band("founder_ts"))
     blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    right = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("founder_id"), F.col("blocks")).cast("int")).withColumn("waits", F.lit(False))
+    right = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("founder_id"), F.col("blocks")).cast("int"))
     left = waiting.withColumn("band", F.explode(F.array(band("ts")) if seconds is None else F.array(band("ts"), band("ts") - 1)))
-    left = left.join(blocks, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("waits", F.lit(True))
-    names = ["band", "block", "waits", "article_id", "label", "vec", "ts", "ord", "founder_id", "founder_ts", "founder_ord"]
-    dealt = right.select(*names).unionByName(left.select(*names[:8]), allowMissingColumns=True)
+    left = left.join(blocks, "band").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ["band", "block", "article_id", "label", "vec", "ts", "ord"]
+    dealt = left.select(*[F.col(n).alias(n) for n in names]).groupBy("band", "block").cogroup(
+        right.select(*names, "founder_id", "founder_ts", "founder_ord").groupBy("band", "block"))
     kind = waiting.schema["article_id"].dataType.simpleString()
-    best = dealt.groupBy("band", "block").applyInPandas(_block_rivals(threshold, seconds), f"article_id {kind}, recall double, at long, ord long")
+    best = dealt.applyInPandas(_block_rivals(threshold, seconds), f"article_id {kind}, recall double, at long, ord long")
     return best.groupBy("article_id").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("recall", "at", "ord")), asc=False), 1, GRAY_PLACES).alias("rivals"))
 
 
 def _block_rivals(threshold: float, seconds: float | None):
-    def rivals(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf.waits].reset_index(drop=True)
-        right = pdf[~pdf.waits].sort_values(["founder_ts", "founder_ord", "founder_id", "ts", "ord"], kind="stable").reset_index(drop=True)
+    def rivals(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["founder_ts", "founder_ord", "founder_id", "ts", "ord"], kind="stable").reset_index(drop=True)
         out: dict[str, list] = {"article_id": [], "recall": [], "at": [], "ord": []}
         if not len(left) or not len(right):
             return pd.DataFrame(out)
-        raw, unit, widths = _units(right.vec.tolist())
-        _, wanted, own_widths = _units(left.vec.tolist())
+        raw, unit, widths = unit_rows(right.vec.tolist())
+        _, wanted, own_widths = unit_rows(left.vec.tolist())
         starts = np.flatnonzero(np.concatenate(([True], right.founder_id.to_numpy()[1:] != right.founder_id.to_numpy()[:-1])))
         group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(right)]))
         usable = widths == widths[starts][group]  # a centroid has the width of the event's first vector
@@ -210,19 +210,25 @@ def _block_rivals(threshold: float, seconds: float | None):
     return rivals
 
 
-def verdict_pairs(articles: DataFrame, verdicts: DataFrame, span_hours: float | None) -> DataFrame:
-    """(article_id, friend): both directions of the pairs within the span that
-    were found to be the same event.  ``verdicts``: low_id, high_id, same; a pair
-    in any order counts, and one with differing rows is not the same."""
+def same_pairs(verdicts: DataFrame) -> DataFrame:
+    """(article_id, friend): both directions of the pairs found to be one event.
+
+    ``verdicts``: low_id, high_id, same; a pair in any order counts, and one with
+    differing rows is not the same.
+    """
     low, high = F.least("low_id", "high_id"), F.greatest("low_id", "high_id")
     same = verdicts.groupBy(low.alias("a"), high.alias("b")).agg(F.min(F.coalesce("same", F.lit(False))).alias("same")).where("same and a <> b")
+    side = lambda x, y: F.struct(F.col(x).alias("article_id"), F.col(y).alias("friend"))
+    return same.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("p")).select("p.*")
+
+
+def verdict_pairs(articles: DataFrame, verdicts: DataFrame, span_hours: float | None) -> DataFrame:
+    """The same of ``articles`` that lie within the span of one another."""
     times = articles.select("article_id", F.unix_micros("ts").alias("at"))
-    near = same.join(times.withColumnRenamed("article_id", "a").withColumnRenamed("at", "at_a"), "a").join(
-        times.withColumnRenamed("article_id", "b").withColumnRenamed("at", "at_b"), "b")
+    near = same_pairs(verdicts).join(times, "article_id").join(times.select(F.col("article_id").alias("friend"), F.col("at").alias("other")), "friend")
     if span_hours is not None:
-        near = near.where(F.abs(F.col("at_a") - F.col("at_b")) <= int(span_hours * 3600 * 10**6))
-    return near.select(F.explode(F.array(F.struct(F.col("a").alias("article_id"), F.col("b").alias("friend")),
-                                         F.struct(F.col("b").alias("article_id"), F.col("a").alias("friend")))).alias("p")).select("p.*")
+        near = near.where(F.abs(F.col("at") - F.col("other")) <= int(span_hours * 3600 * 10**6))
+    return near.select("article_id", "friend")
 
 
 def grouped(articles: DataFrame, links: DataFrame, *, threshold: float, span_hours: float | None, verdicts: DataFrame | None = None) -> DataFrame:
