@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 
 from tidewire.llm.piece_codec import PieceCodec, codec_digests, encoded
-from tidewire.llm.token_alignment import Aligner, Transducer, aligned, alignment_report
+from tidewire.llm.token_alignment import Aligner, ByteLevelSide, Transducer, aligned, alignment_report
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -166,3 +166,12 @@ def test_words_and_whole_texts_align_alike():
         return [(";".join(entries[i][3] for i in own), sum(entries[i][2] for i in own)) for own in places]
 
     assert result(by_word) == result(whole)
+
+
+def test_quick_encoder_equals_the_library():
+    side = ByteLevelSide(A)
+    assert side.quick is not None
+    rnd = random.Random(1)
+    words = [" " * rnd.randrange(1, 3) + "".join(rnd.choice("etaoinshrdluXQZ019'-_.,!?$#\\") for _ in range(rnd.randrange(1, 14))) for _ in range(4000)]
+    words = [w for w in words if not w[-1].isspace()]
+    assert side.ids_of_words(words) == [side.ids(w) for w in words]
