@@ -77,7 +77,7 @@ def _block_pairs(threshold: float, seconds: int | None):
             once = x < y if same else x != y
             x, y, near = x[once], y[once], score[i, j][once]
             out.append(pd.DataFrame({"a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "similarity": near}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []}, dtype=object)
 
     return pairs
 

@@ -171,7 +171,7 @@ def _block_rivals(threshold: float, seconds: float | None):
         right = right.sort_values(["founder_ts", "founder_ord", "founder_id", "ts", "ord"], kind="stable").reset_index(drop=True)
         out: dict[str, list] = {"article_id": [], "recall": [], "at": [], "ord": []}
         if not len(left) or not len(right):
-            return pd.DataFrame(out)
+            return pd.DataFrame(out, dtype=object)
         raw, unit, widths = unit_rows(right.vec.tolist())
         _, wanted, own_widths = unit_rows(left.vec.tolist())
         starts = np.flatnonzero(np.concatenate(([True], right.founder_id.to_numpy()[1:] != right.founder_id.to_numpy()[:-1])))
@@ -205,7 +205,7 @@ def _block_rivals(threshold: float, seconds: float | None):
                     out["recall"].append(float(recall[i, g]))
                     out["at"].append(int(begun[g]))
                     out["ord"].append(int(right.founder_ord.iat[starts[g]]))
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     return rivals
 

@@ -79,7 +79,7 @@ def _scored(threshold: float | None, floor: float | None, k: int, closest: bool)
                     for g in best.tolist():
                         at = starts[g] + int(near[i, starts[g] : ends[g]].argmax()) if closest else 0
                         found(first + i, g, True, recall[i, g], members[at] if closest else None)
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)
 
     return score
 
@@ -102,6 +102,17 @@ def centroid_recall(articles: DataFrame, events: DataFrame, *, floor: float = GR
     return found.select("article_id", "event_id", F.col("similarity").alias("affinity"), F.row_number().over(order).alias("place")).where(F.col("place") <= k)
 
 
+def similar_members(articles: DataFrame, members: DataFrame, *, threshold: float, window_hours: float) -> DataFrame:
+    """(article_id, event_id, similarity): events all of whose members are similar.
+
+    ``articles``: article_id, vec, at; ``members``: event_id, member_id, vec, at
+    (the event's).  Both times lie within the window, or a little beyond.
+    """
+    article, event, member = _kinds((articles, "article_id"), (members, "event_id"), (members, "member_id"))
+    return _dealt(articles, members, window_hours * 3600).applyInPandas(
+        _scored(threshold, None, 0, False), f"article_id {article}, event_id {event}, gray boolean, similarity double, member_id {member}")
+
+
 def fits_window(last: Column, first: Column, event_first: Column, event_last: Column, hours: float) -> Column:
     """Whether an event was seen lately enough and both together last no longer than ``hours``."""
     micros = int(hours * 3600 * 10**6)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored in the checkpoint folder, which cuts its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` stored as a table in the checkpoint folder, which cuts its lineage.
+
+    A checkpointed plan keeps the size estimates of what it replaces, which
+    multiply from round to round; a table that is read again has sizes of its own.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/tidewire-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
