@@ -50,7 +50,7 @@ def _path(url: Column) -> Column:
 
 
 def _query(url: Column) -> Column:
-    return F.regexp_extract(url, r"\?([^#]*)", 1)
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
 def _parameters(query: Column, keys: list[str]) -> Column:
@@ -61,16 +61,33 @@ def _parameters(query: Column, keys: list[str]) -> Column:
     return F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
 
 
+def _decoded(part: Column) -> Column:
+    """Escapes and plus signs of a query read; a part with broken escapes stays."""
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def _encoded(part: Column) -> Column:
+    """Escapes of a query: letters, digits and ``_.-~`` stay, a space is ``+``."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no tracking parameters, fragment or last slash.
 
-    Parameters keep their order and their encoding.
+    Parameters keep their order; names and values are decoded and encoded again,
+    so that one value has one spelling.
     """
     url = F.trim(url)
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     path = F.regexp_replace(_path(url), r"/+$", "")
     path = F.when(path == "", _path(url)).otherwise(path)
-    query = F.array_join(_parameters(_query(url), TRACKING_KEYS), "&")
+    parts = F.filter(F.split(_query(url), "&"), lambda p: p != "")
+    pairs = F.transform(parts, lambda p: F.struct(
+        _decoded(F.substring_index(p, "=", 1)).alias("name"),
+        _decoded(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise(F.lit(""))).alias("value")))
+    name = lambda x: F.lower(x["name"])
+    kept = F.filter(pairs, lambda x: ~name(x).startswith(TRACKING_PREFIX) & ~name(x).isin(TRACKING_KEYS))
+    query = F.array_join(F.transform(kept, lambda x: F.concat(_encoded(x["name"]), F.lit("="), _encoded(x["value"]))), "&")
     tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
     return F.when(scheme == "", url).otherwise(F.concat(scheme, F.lit("://"), _host(url), path, tail))
 

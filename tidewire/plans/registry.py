@@ -95,12 +95,16 @@ def period_keys(spark: SparkSession, sf: str) -> DataFrame:
 SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' ||
   lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') ||
   CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical
-FROM (SELECT page_id, trim(url) AS url, array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
-   lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_')
-        AND lower(split_part(p, '=', 1)) NOT IN ('fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'ref')),
-   lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') AS q FROM pages)""", bound=False)
+FROM (SELECT page_id, trim(url) AS url, array_to_string(list_transform(list_filter(list_transform(
+   list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> ''),
+   lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')), CASE WHEN contains(p, '=') THEN url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' ')) ELSE '' END]),
+   lambda x: NOT starts_with(lower(x[1]), 'utm_') AND lower(x[1]) NOT IN ('fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'ref')),
+   lambda x: replace(url_encode(x[1]), '%20', '+') || '=' || replace(url_encode(x[2]), '%20', '+')), '&') AS q
+  FROM (SELECT page_id, url || CASE WHEN page_id % 3 = 0 THEN CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'q=%7Ea+b%2F*&UTM%5Fx=1&e' ELSE '' END AS url FROM pages))""", bound=False)
 def canonical_url(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", T.canonical_url(F.col("url")).alias("canonical"))
+    more = F.concat(F.when(F.contains("url", F.lit("?")), F.lit("&")).otherwise(F.lit("?")), F.lit("q=%7Ea+b%2F*&UTM%5Fx=1&e"))
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, more).otherwise(F.lit("")))
+    return table(spark, sf, "pages").select("page_id", T.canonical_url(url).alias("canonical"))
 
 
 @query("reference_keys")

@@ -153,7 +153,12 @@ def parse_trending_repos(pages: DataFrame, *, terms: list[str]) -> DataFrame:
     """Repositories of a trending page, each at its first place."""
     names = pages.select("source_id", F.posexplode(F.regexp_extract_all("body", F.lit(r'(?is)<h2[^>]*>\s*<a[^>]*href="/([^"/]+/[^"/]+)"'), F.lit(1))).alias("pos", "repo"))
     first = names.groupBy("source_id", "repo").agg(F.min("pos").alias("pos"))
-    return first.where(F.lower("repo").rlike("|".join(terms))) if terms else first
+    if not terms:
+        return first
+    found = F.lit(False)
+    for term in terms:
+        found = found | F.lower("repo").contains(term.lower())
+    return first.where(found)
 
 
 def parse_papers(dumps: DataFrame) -> DataFrame:
