@@ -74,8 +74,8 @@ def _components(groups: DataFrame, events: DataFrame, threshold: float, window_h
     known = own.select("article").distinct()
     prior = stored.join(known, "article", "left_semi")
     same = events.select(node("e:", "event_id").alias("node"), F.col("event_id").alias("id")).join(groups.select(F.col("group_id").alias("id")), "id", "left_semi").select("node")
-    oldest = groups.agg(F.min("last_seen_at").alias("oldest"))  # one row
-    recent = events.join(F.broadcast(oldest), F.unix_micros("last_seen_at") >= F.unix_micros("oldest") - int(window_hours * 3600 * 10**6))
+    oldest = groups.agg(F.min(F.unix_micros("last_seen_at"))).first()[0] or 0  # one number
+    recent = events.where(F.unix_micros("last_seen_at") >= oldest - int(window_hours * 3600 * 10**6))
     live = checkpointed(recent.select(node("e:", "event_id").alias("node")).union(prior.select("node")).union(same).distinct())
     stored = stored.join(live, "node", "left_semi")
     by_key = lambda df: df.select("node", F.explode("keys").alias("key"))
