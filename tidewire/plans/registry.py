@@ -754,4 +754,4 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
         F.unix_micros("day_start").alias("day_start"), "event_id", "reports", "sources")
 
 
-from tidewire.plans import events_at_work, more, paged_feeds, records, upkeep  # noqa: E402,F401  register their queries here too
+from tidewire.plans import editing, events_at_work, more, paged_feeds, records, upkeep  # noqa: E402,F401  register their queries here too
