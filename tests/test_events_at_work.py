@@ -49,13 +49,14 @@ def test_stored_events_query(spark):
 
 
 def test_verified_clusters_query(spark):
-    rows = [(r.article_id, r.published_at, r.vec, r["keys"]) for r in work._vectors(spark, SF).collect()]
-    label = {r.article_id: r.label for r in work._vectors(spark, SF).collect()}
-    same = {(a, b) for a in label for b in range(a + 1, a + 39) if b in label and label[a] == label[b] and (a + b) % 4 > 0}
+    rows = [(r.article_id, r.ts, r.vec, r["keys"]) for r in work.reports_of(spark, SF).collect()]
+    ids = {r[0] for r in rows}
+    same = {(a, b) for a in ids for b in range(a + 1, a + 39) if b in ids and (a + b) % 5 > 0}
     groups = {}
     for r in QUERIES["verified_clusters"](spark, SF).collect():
         groups.setdefault(r.event_id, []).append(r.article_id)
-    assert sorted(sorted(g) for g in groups.values()) == slow_groups(rows, same, 0.9, 24)
+    expected = slow_groups(rows, same, 0.9, 24)
+    assert sorted(sorted(g) for g in groups.values()) == expected and sum(len(g) > 2 for g in expected) > 20
 
 
 def test_merges_in_order_query(spark):

@@ -66,16 +66,24 @@ def stored_events(spark: SparkSession, sf: str) -> DataFrame:
         F.unix_micros("last_seen_at").alias("last_seen_at"), F.array_join(F.transform("members", lambda m: m.article_id.cast("string")), ",").alias("members"))
 
 
+def reports_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles that lean to the first of four neighbours; every eighth cites a source with the next but seven."""
+    v = _vectors(spark, sf).drop("label", "keys")
+    i = F.col("article_id")
+    lead = v.select(i.alias("lead"), F.col("vec").alias("leading"))
+    rows = v.withColumn("lead", i - i % 4).join(lead, "lead")
+    vec = F.zip_with("vec", "leading", lambda x, y: x * 0.6 + y)
+    return rows.select("article_id", F.col("published_at").alias("ts"), vec.alias("vec"), F.when(i % 8 == 0, F.array(F.concat(F.lit("k"), F.floor(i / 16)))).alias("keys"))
+
+
 @query("verified_clusters")
 def verified_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles in order, with verdicts on pairs of one label."""
-    v = _vectors(spark, sf).withColumnRenamed("published_at", "ts")
+    """Articles in order, with verdicts on most pairs of a day."""
+    v = reports_of(spark, sf)
     rows = v.select("article_id", "ts", F.col("article_id").alias("ord"), "vec", "keys", F.lit(True).alias("can_be_main"), F.lit("signal").alias("role"),
                     F.lit("T1").alias("tier"), F.lit(1.0).alias("final_score"), F.lit(1).alias("content_length"))
-    pairs = v.select(F.col("article_id").alias("low_id"), "label", F.explode(F.sequence(F.col("article_id") + 1, F.col("article_id") + 38)).alias("high_id"))
-    other = v.select(F.col("article_id").alias("high_id"), F.col("label").alias("other"))
-    verdicts = pairs.join(other, "high_id").select("low_id", "high_id", ((F.col("label") == F.col("other")) & ((F.col("low_id") + F.col("high_id")) % 4 > 0)).alias("same"))
-    return cluster.cluster_articles(rows, threshold=0.9, span_hours=24, verdicts=verdicts)
+    pairs = v.select(F.col("article_id").alias("low_id"), F.explode(F.sequence(F.col("article_id") + 1, F.col("article_id") + 38)).alias("high_id"))
+    return cluster.cluster_articles(rows, threshold=0.9, span_hours=24, verdicts=pairs.withColumn("same", (F.col("low_id") + F.col("high_id")) % 5 > 0))
 
 
 @query("merges_in_order")

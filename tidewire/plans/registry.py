@@ -416,50 +416,50 @@ def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 STORED_EVENTS = """
-WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label * 1000 + vec_id // 25 AS event_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(vec_id * 37 AS INTEGER)) AS ts FROM embeddings),
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label * 1000 + vec_id // {width} AS event_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(vec_id * 37 AS INTEGER)) AS ts FROM embeddings),
 spans AS (SELECT event_id, min(ts) AS lo, max(ts) AS hi FROM v GROUP BY event_id),
 links AS (SELECT a.id AS article_id, m.event_id, round(min(list_cosine_similarity(a.vec, m.vec)), 9) AS weakest, any_value(a.ts) AS ts FROM v a, v m GROUP BY ALL),
 fits AS (SELECT l.*, hi >= ts - INTERVAL {hours} HOUR AND greatest(hi, ts) - least(lo, ts) <= INTERVAL {hours} HOUR AS fits FROM links l JOIN spans USING (event_id))"""
 
 
-def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Articles, events of up to 15 hours, and their members."""
-    event = (F.col("event_id") * 1000 + F.floor(F.col("id") / 25)).cast("long")
+def _stored(spark: SparkSession, sf: str, width: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Articles, events of up to ``width`` steps of 37 minutes, and their members."""
+    event = (F.col("event_id") * 1000 + F.floor(F.col("id") / width)).cast("long")
     v = _vectors(spark, sf).withColumn("event_id", event)
     articles = v.select(F.col("id").alias("article_id"), "vec", F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_seen_at"))
     events = v.groupBy("event_id").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"))
     return articles, events, v.select("event_id", F.col("id").alias("member_id"), "vec")
 
 
-@query("nearest_events", f"""{STORED_EVENTS.format(hours=72)}
+@query("nearest_events", f"""{STORED_EVENTS.format(hours=72, width=25)}
 SELECT article_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY weakest DESC, event_id) AS place FROM fits WHERE fits AND weakest >= -0.05) WHERE place <= 2""", bound=False)
 def nearest_events(spark: SparkSession, sf: str) -> DataFrame:
     return recall.nearest_events(*_stored(spark, sf), threshold=-0.05, k=2, window_hours=72).select(
         "article_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
-@query("nearest_recent_events", f"""{STORED_EVENTS.format(hours=24)}
+@query("nearest_recent_events", f"""{STORED_EVENTS.format(hours=24, width=25)}
 SELECT article_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY weakest DESC, event_id) AS place FROM fits WHERE fits AND weakest >= 0.05) WHERE place = 1""", bound=False)
 def nearest_recent_events(spark: SparkSession, sf: str) -> DataFrame:
     return recall.nearest_events(*_stored(spark, sf), threshold=0.05, window_hours=cluster.SPAN_HOURS).select("article_id", "event_id")
 
 
-@query("verified_events", f"""{STORED_EVENTS.format(hours=48)},
+@query("verified_events", f"""{STORED_EVENTS.format(hours=48, width=10)},
 means AS (SELECT event_id, list(x ORDER BY p) AS centroid FROM (SELECT event_id, p, avg(x) AS x FROM (
   SELECT event_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS p FROM v) GROUP BY ALL) GROUP BY event_id),
-asked AS (SELECT l.article_id, l.event_id, bool_and((l.article_id + m.id) % 4 > 0 AND l.article_id <> m.id) AS agreed,
-  arg_max((l.article_id + m.id) % 4 > 0 AND l.article_id <> m.id, (round(list_cosine_similarity(a.vec, m.vec), 12), -m.id)) AS nearest
+asked AS (SELECT l.article_id, l.event_id, bool_and((l.article_id + m.id) % 4 > 0) AS agreed,
+  arg_max((l.article_id + m.id) % 4 > 0, (round(list_cosine_similarity(a.vec, m.vec), 12), -m.id)) AS nearest
   FROM links l JOIN v a ON a.id = l.article_id JOIN v m ON m.event_id = l.event_id GROUP BY ALL),
 band AS (SELECT f.*, round(list_cosine_similarity(a.vec, centroid), 9) AS recall FROM fits f JOIN means USING (event_id) JOIN v a ON a.id = f.article_id WHERE weakest < 0.86),
 placed AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY recall DESC, event_id) AS n FROM band WHERE recall >= 0.8),
 found AS (SELECT article_id, event_id, false AS gray, weakest AS score FROM fits JOIN asked USING (article_id, event_id) WHERE fits AND weakest >= 0.86 AND agreed
   UNION ALL SELECT article_id, event_id, true, recall FROM placed JOIN asked USING (article_id, event_id) WHERE n <= 2 AND fits AND nearest)
-SELECT article_id, event_id, gray FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY gray, score DESC, event_id) AS place FROM found) WHERE place = 1""", bound=False)
+SELECT article_id + 1000000 AS article_id, event_id, gray FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY gray, score DESC, event_id) AS place FROM found) WHERE place = 1""", bound=False)
 def verified_events(spark: SparkSession, sf: str) -> DataFrame:
-    articles, events, members = _stored(spark, sf)
-    ids = members.select(F.col("member_id").alias("low_id"))
-    near = F.sequence(F.greatest(F.col("low_id") - 250, F.lit(0)), F.col("low_id") - 1)
-    verdicts = ids.where("low_id > 0").select("low_id", F.explode(near).alias("high_id")).withColumn("same", (F.col("low_id") + F.col("high_id")) % 4 > 0)
+    articles, events, members = _stored(spark, sf, 10)
+    articles = articles.withColumn("article_id", F.col("article_id") + 1_000_000)  # reports like a member, with ids of their own
+    pairs = members.select("member_id", F.explode(F.sequence(F.col("member_id") - 100, F.col("member_id") + 100)).alias("other"))
+    verdicts = pairs.select(F.col("member_id").alias("low_id"), (F.col("other") + 1_000_000).alias("high_id"), ((F.col("member_id") + F.col("other")) % 4 > 0).alias("same"))
     return recall.nearest_events(articles, events, members, threshold=0.86, window_hours=48, verdicts=verdicts).select("article_id", "event_id", "gray")
 
 
