@@ -15,7 +15,8 @@ length; a null source is a source of its own and comes last; a source without
 words has target 0 and is not taken; the draw depends on the seed, the
 document id (null draws as an empty string) and the text; rows that repeat
 both are counted by all their columns and numbered from 1, and the number draws
-as well, so each has a draw of its own whatever the layout of the input; of
+as well, so equal rows have draws of their own whatever the layout of the input
+(rows that differ in other columns alone are numbered apart, and share draws); of
 sources with equal ratios of cap and weight all or none reach the cap; an
 empty table gives an empty result; other columns pass through unread.
 """
@@ -89,8 +90,7 @@ def _with_ties(docs: DataFrame, folder: str) -> DataFrame:
     rows = [F.col(f"`{c}`") for c in docs.columns]
     counted = docs.join(again, same, "left_semi").groupBy(*rows).agg(F.count(F.lit(1)).alias("_n"))
     numbered = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    other = [F.xxhash64(F.col(c)).cast("string") for c in docs.columns if c not in ("doc_id", "source", "text")]
-    numbered = numbered.select(*rows, F.concat_ws(":", F.col("_k").cast("string"), *other).alias("_tie"))
+    numbered = numbered.select(*rows, F.col("_k").cast("string").alias("_tie"))
     return docs.join(again, same, "left_anti").withColumn("_tie", F.lit("")).unionByName(numbered)
 
 
