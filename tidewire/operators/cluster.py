@@ -97,12 +97,15 @@ def reference_matches(articles: DataFrame, events: DataFrame) -> DataFrame:
 
     ``articles``: article_id, keys; ``events``: event_id, keys and the rank
     columns can_be_main, role, tier, final_score, source_count, last_seen_at.
+    The best event of a source comes first, so an article meets one event for
+    each of its keys, however many cite them.
     """
     left = articles.select("article_id", F.explode(F.array_distinct("keys")).alias("key"))
     right = events.withColumn("key", F.explode(F.array_distinct("keys"))).drop("keys")
     rank = F.struct(F.col("can_be_main").cast("int"), ranked(F.col("role"), ROLE_RANK), ranked(F.col("tier"), TIER_RANK),
                     F.col("final_score"), F.col("source_count"), F.col("last_seen_at"), F.col("event_id"))
-    return left.join(right, "key").groupBy("article_id").agg(F.max_by("event_id", rank).alias("event_id"))
+    best = right.groupBy("key").agg(F.max(rank).alias("best"))
+    return left.join(best, "key").groupBy("article_id").agg(F.max("best").alias("best")).select("article_id", "best.event_id")
 
 
 def merge_rank(events: DataFrame) -> DataFrame:
