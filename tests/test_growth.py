@@ -1,8 +1,18 @@
 """Steps whose work once grew faster than their input."""
 
+import json
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import cluster
+from tidewire.functions import text as T
+from tidewire.llm import hamming_search
+from tidewire.operators import cluster, content, event_store, rank, recall
+from tidewire.plans import bindings, registry
+from tidewire.sources import paged
+
+SF = "/root/testdata/sf0.001"
 
 
 def optimized(df):
@@ -17,3 +27,13 @@ def test_a_key_that_many_events_cite_is_one_row_to_join(spark):
     assert {(r.article_id, r.event_id) for r in found.collect()} == {(1, 6), (2, 6)}
     below = optimized(found).split("Join", 1)[1]
     assert "Aggregate [key" in below
+
+
+def test_probes_of_a_search_are_never_broadcast(spark):
+    codes = spark.range(50).select(F.col("id").alias("code"))
+    segments = hamming_search._segments(64, 8)
+    index = codes.select("code", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), hamming_search._part(F.col("code"), a, w).alias("value"))
+                                                     for s, (a, w) in enumerate(segments)])).alias("x")).select("code", "x.*")
+    found = hamming_search._met(codes.select(F.col("code").alias("qcode"), F.lit(1).alias("bound")), index, segments, 0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.qcode, r.code) for r in found.collect()} == {(a, b) for a in range(50) for b in range(50) if bin(a ^ b).count("1") <= 1}

@@ -72,7 +72,7 @@ def _around(code: Column, shift: int, width: int, radius: int) -> Column:
     """All values of a segment at distance ``radius`` from the code's own."""
     own = _part(code, shift, width)
     flips = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
-    return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: x.bitwiseXOR(own))
+    return F.transform(F.lit(np.array(flips, np.int64)), lambda x: x.bitwiseXOR(own))
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -124,6 +124,29 @@ def _scan(entries: DataFrame, block: np.ndarray, k: int) -> DataFrame:
     return entries.select("code").mapInArrow(scan, "qcode long, code long, distance long")
 
 
+def _met(open_codes: DataFrame, index: DataFrame, segments: list[tuple[int, int]], radius: int) -> DataFrame:
+    """Codes that a segment's values at ``radius`` from an open query's lead to.
+
+    A query becomes thousands of probes, which estimates of sizes don't see, so
+    the join is merged: broadcast, the probes would all pass through the driver.
+    """
+    probe = open_codes.select("qcode", "bound", F.explode(F.array(*[
+        F.struct(
+            F.lit(s).alias("seg"),
+            _around(F.col("qcode"), a, w, radius).alias("values"),
+        )
+        for s, (a, w) in enumerate(segments) if radius <= w
+    ])).alias("x")).select("qcode", "bound", "x.seg", F.explode("x.values").alias("value"))
+    apart = F.col("qcode").bitwiseXOR(F.col("code"))
+    nearest = F.array(*[F.bit_count(_part(apart, a, w)) for a, w in segments])
+    return (
+        probe.hint("merge").join(index, ["seg", "value"])
+        .where(F.bit_count(apart) <= F.col("bound"))
+        .where((F.array_min(nearest) == radius) & (F.array_position(nearest, F.array_min(nearest)) == F.col("seg") + 1))
+        .select("qcode", "code", F.bit_count(apart).cast("long").alias("distance"))
+    )
+
+
 def top_k(rows: DataFrame, queries: DataFrame, *, k: int = TOP_K, bits: int = BITS) -> DataFrame:
     """(id, code) and (id, code) -> query_id, rank, id, distance."""
     spark = rows.sparkSession
@@ -155,21 +178,7 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = TOP_K, bits: int = BI
         probes = sum(comb(w, radius) for _, w in segments)
         if probes > max(n, 256):
             break
-        probe = open_codes.select("qcode", "bound", F.explode(F.array(*[
-            F.struct(
-                F.lit(s).alias("seg"),
-                _around(F.col("qcode"), a, w, radius).alias("values"),
-            )
-            for s, (a, w) in enumerate(segments) if radius <= w
-        ])).alias("x")).select("qcode", "bound", "x.seg", F.explode("x.values").alias("value"))
-        apart = F.col("qcode").bitwiseXOR(F.col("code"))
-        nearest = F.array(*[F.bit_count(_part(apart, a, w)) for a, w in segments])
-        met = (
-            probe.join(index, ["seg", "value"])
-            .where(F.bit_count(apart) <= F.col("bound"))
-            .where((F.array_min(nearest) == radius) & (F.array_position(nearest, F.array_min(nearest)) == F.col("seg") + 1))
-            .select("qcode", "code", F.bit_count(apart).cast("long").alias("distance"))
-        )
+        met = _met(open_codes, index, segments, radius)
         found.append(written(met, f"{folder}/met-{radius}"))
         everything = found[0]
         for other in found[1:]:
