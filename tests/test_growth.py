@@ -37,3 +37,20 @@ def test_probes_of_a_search_are_never_broadcast(spark):
     found = hamming_search._met(codes.select(F.col("code").alias("qcode"), F.lit(1).alias("bound")), index, segments, 0)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.qcode, r.code) for r in found.collect()} == {(a, b) for a in range(50) for b in range(50) if bin(a ^ b).count("1") <= 1}
+
+
+def test_feeds_of_any_length_are_read_whole_and_circles_end(spark, tmp_path):
+    def capture(account, n, last=None):
+        os.makedirs(folder := tmp_path / account / "all")
+        for i in range(n):
+            more = i + 1 < n or last is not None
+            body = {"ok": True, "data": {"items": [{"title": str(i)}]}, "meta": {"has_more": more, "next_cursor": str(i + 1) if i + 1 < n else last}}
+            (folder / f"{i}.json").write_text(json.dumps(body))
+
+    capture("long", 1005)
+    capture("circle", 3, last="1")
+    paged.register(spark)
+    feed = lambda account: spark.read.format("paged_feed").option("path", f"file://{tmp_path}").option("accounts", json.dumps([account])).load()
+    assert feed("long").count() == 1005
+    with pytest.raises(Exception, match="comes again"):
+        feed("circle").collect()

@@ -14,8 +14,9 @@ the failure); an account without captured pages has no rows.
 Pages come from a folder of captures, ``<account>/<window>/<number>.json``, in
 which the file ``0`` is the first page and a cursor names the next file; a window
 that wasn't captured is read from ``all``.  Options: ``path``, ``accounts``
-(JSON list), ``now`` (the moment that windows count from), ``maxPages`` (a guard
-against cursors in a circle; reaching it is a failure), ``onFailure``.
+(JSON list), ``now`` (the moment that windows count from), ``maxPages`` (where it
+is given, a longer feed is a failure), ``onFailure``.  A cursor that comes again
+is a failure, so circles end without a limit on the number of pages.
 
 As a stream each micro-batch takes the pages of captures that are new: the
 offset of an account is the number of its ``all`` pages read so far.
@@ -36,7 +37,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "account string, page int, position int, title string, url string, summary string, published_at timestamp, window string, failure string"
 #: Windows of the upstream by days, smallest first.
 WINDOWS = ((1, "24h"), (7, "7d"), (30, "30d"))
-MAX_PAGES = 1000
 
 
 def smallest_window(since: datetime | None, now: datetime) -> str:
@@ -78,7 +78,7 @@ class Captures:
 
     def __init__(self, options: dict):
         self.root = _local(options["path"])  # names of options come in lower case
-        self.most = int(options.get("maxpages", MAX_PAGES))
+        self.most = int(options["maxpages"]) if "maxpages" in options else None
         self.keeps = options.get("onfailure", "fail") == "keep"
 
     def folder(self, account: Account) -> str | None:
@@ -95,9 +95,13 @@ class Captures:
     def pages(self, account: Account) -> Iterator[tuple[int, list[dict]]]:
         """(number, items) along the cursors; a cool-down ends them."""
         folder, cursor, page = self.folder(account), str(account.first), account.first
+        met: set[str] = set()
         while folder is not None and (account.last is None or page < account.last):
-            if page - account.first >= self.most:
+            if self.most is None and cursor in met:
+                raise Refused(f"cursor {cursor} comes again")
+            if self.most is not None and page - account.first >= self.most:
                 raise Refused(f"more than {self.most} pages")
+            met.add(cursor)
             try:
                 with open(os.path.join(folder, f"{cursor}.json"), encoding="utf-8") as f:
                     answer = json.load(f)
