@@ -54,3 +54,12 @@ def test_feeds_of_any_length_are_read_whole_and_circles_end(spark, tmp_path):
     assert feed("long").count() == 1005
     with pytest.raises(Exception, match="comes again"):
         feed("circle").collect()
+
+
+def test_a_title_is_normalised_once_for_all_its_bigrams(spark):
+    df = spark.createDataFrame([("Ab ab!c",), ("x",), (None,)], "t string").select(T.bigrams(F.lower("t")).alias("g"))
+    assert [sorted(r.g) for r in df.collect()] == [["ab", "ba", "bc"], [], []]
+    assert optimized(df.withColumn("h", F.size("g"))).split("array_distinct")[0].count("lambdafunction(if") <= 1
+    both = spark.createDataFrame([("ab", "abc")], "a string, b string").select(T.bigram_affinity(T.bigrams(F.col("a")), T.bigrams(F.col("b"))).alias("x"))
+    assert both.first().x == 0.5
+    assert optimized(both).count("regexp_replace") == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,17 +140,27 @@ def event_title(value: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), ITEM_CJK, "")
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, wherever and however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def bigrams(value: Column) -> Column:
     """Distinct two-character runs of a normalised title."""
-    text = event_title(value)
-    runs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.when(F.length(text) >= 2, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    def runs(text: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+        return F.when(F.length(text) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    return once(event_title(value), runs)
 
 
 def bigram_affinity(left: Column, right: Column) -> Column:
     """Jaccard similarity of two bigram sets, 0 if both are empty."""
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(F.lit(0.0))
+    def share(sets: Column) -> Column:
+        union = F.size(F.array_union(sets.l, sets.r))
+        return F.when(union > 0, F.size(F.array_intersect(sets.l, sets.r)) / union).otherwise(F.lit(0.0))
+
+    return once(F.struct(left.alias("l"), right.alias("r")), share)
 
 
 def contains_all_terms(haystack: Column, query: str) -> Column:
