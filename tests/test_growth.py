@@ -63,3 +63,15 @@ def test_a_title_is_normalised_once_for_all_its_bigrams(spark):
     both = spark.createDataFrame([("ab", "abc")], "a string, b string").select(T.bigram_affinity(T.bigrams(F.col("a")), T.bigrams(F.col("b"))).alias("x"))
     assert both.first().x == 0.5
     assert optimized(both).count("regexp_replace") == 2
+
+
+def test_lines_are_read_once_and_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(bindings, "TASK_ROWS", 500)
+    m = bindings.membership(spark, SF)
+    assert "Join" not in optimized(m) and "Join" not in optimized(bindings.clusters(spark, SF))
+    rows = bindings.table(spark, SF, "lineitem").count()
+    assert "RepartitionByExpression [l_orderkey" in optimized(m) and f", {-(-rows // 500)}" in optimized(m)
+
+
+def test_the_list_of_hidden_rows_reads_the_view_once(spark):
+    assert optimized(registry.QUERIES["admin_list"](spark, SF)).count("Join") <= optimized(registry.QUERIES["all_events_view"](spark, SF)).count("Join")

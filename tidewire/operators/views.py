@@ -41,7 +41,8 @@ def all_events(
     the main article alone.  The two outer joins on membership are one join
     whose main side is a condition, and "an event with a selected member" is a
     semi-join set, not a correlated lookup.  Both start from the memberships
-    of the window's articles and the events these meet.
+    of the window's articles and the events these meet.  With ``include_hidden``
+    a column ``hidden`` marks the rows that are left out without it.
     """
     lower, upper = day_bounds(start, end)
     window = raw.where((F.col("published_at") >= F.lit(lower)) & (F.col("published_at") < F.lit(upper)))
@@ -74,8 +75,9 @@ def all_events(
     if selected_only:
         rows = rows.where(F.when(F.col("event_id").isNotNull(), F.coalesce("event_selected", F.lit(False)))
                           .otherwise(F.col("status") == "processed"))
+    rows = rows.withColumn("hidden", F.coalesce("ov_hidden", F.lit(False)) | F.coalesce(event("ev_hidden"), F.lit(False)))
     if not include_hidden:
-        rows = rows.where(~F.coalesce("ov_hidden", F.lit(False)) & ~F.coalesce(event("ev_hidden"), F.lit(False)))
+        rows = rows.where(~F.col("hidden"))
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
     return rows.select(
         "article_id",
@@ -91,6 +93,7 @@ def all_events(
         F.col("event_last_seen").alias("last_seen_at"),
         F.col("event_score").alias("event_final_score"),
         F.when(F.col("event_id").isNotNull(), F.coalesce("event_selected", F.lit(False))).alias("event_selected"),
+        *(["hidden"] if include_hidden else []),
     )
 
 

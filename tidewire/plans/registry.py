@@ -16,7 +16,7 @@ from tidewire.functions.time import day_bounds, local_day, period_key, window_st
 from tidewire.functions.vector import cosine, norm
 from tidewire.operators import cluster, graph, ledger, normalize, rank, recall, upsert, views
 from tidewire.plans import bindings as B
-from tidewire.session import checkpoint_folder, table
+from tidewire.session import checkpoint_folder, checkpointed, table
 from tidewire.sources import feeds
 from tidewire.streaming import intake
 
@@ -275,7 +275,7 @@ LOWER, UPPER = day_bounds(START, END)
 
 
 def _view(spark: SparkSession, sf: str, **options) -> DataFrame:
-    m = B.membership(spark, sf)
+    m = checkpointed(B.membership(spark, sf))  # read six times below
     a = F.col("article_id")
     processed = m.select("article_id", "final_score", F.when(F.col("l_returnflag") == "R", "processed").otherwise("rejected").alias("status"),
                          F.array(F.lit("ai"), F.col("l_returnflag")).alias("tags"))
@@ -287,7 +287,7 @@ def _view(spark: SparkSession, sf: str, **options) -> DataFrame:
         F.col("o_orderkey").alias("event_id"), (F.col("o_orderkey") % 33 == 0).alias("hidden"), F.lit(None).cast("string").alias("title"),
         F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("event"))).alias("tags"))
     member = m.where(F.col("l_linenumber") < 6).select("event_id", "article_id", "is_main")
-    return views.all_events(processed, raw, srcs, overrides, ev, member, B.clusters(spark, sf), START, END, **options)
+    return views.all_events(processed, raw, srcs, overrides, ev, member, B.cluster_facts(m), START, END, **options)
 
 
 VIEW_SQL = f"""
@@ -328,10 +328,8 @@ def selected_semi_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("admin_list", f"""{VIEW_SQL} SELECT article_id, title, ov_hidden OR ev_hidden AS hidden FROM view
 WHERE contains(lower(title), 'edited') AND status = 'rejected'""")
 def admin_list(spark: SparkSession, sf: str) -> DataFrame:
-    shown = _view(spark, sf).select("article_id", F.lit(True).alias("_shown"))
-    rows = _view(spark, sf, include_hidden=True).join(shown, "article_id", "left")
-    return rows.where(T.contains_all_terms(F.col("title"), "edited") & (F.col("status") == "rejected")).select(
-        "article_id", "title", F.col("_shown").isNull().alias("hidden"))
+    rows = _view(spark, sf, include_hidden=True)
+    return rows.where(T.contains_all_terms(F.col("title"), "edited") & (F.col("status") == "rejected")).select("article_id", "title", "hidden")
 
 
 @query("selected_feed", f"""{VIEW_SQL} SELECT article_id, event_id, source_count FROM view
