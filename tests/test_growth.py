@@ -75,3 +75,8 @@ def test_lines_are_read_once_and_dealt_by_their_number(spark, monkeypatch):
 
 def test_the_list_of_hidden_rows_reads_the_view_once(spark):
     assert optimized(registry.QUERIES["admin_list"](spark, SF)).count("Join") <= optimized(registry.QUERIES["all_events_view"](spark, SF)).count("Join")
+
+
+def test_items_of_a_model_stay_where_they_are(spark):
+    items = spark.createDataFrame([(str(i), f"m{i % 3}", i, i) for i in range(30)], "event_id string, model_used string, final_score int, ord int")
+    assert "strategy=broadcast" in optimized(rank.model_rank(items).where("model_rank = 1")) or "rightHint=(strategy=broadcast)" in rank.model_rank(items)._jdf.queryExecution().optimizedPlan().toString()

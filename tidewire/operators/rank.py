@@ -12,6 +12,8 @@ WEEKLY_FILL = 40
 WEEKLY_FLOOR = 2
 MONTHLY_MOST = 25
 MONTHLY_LEAST = 10
+#: Models up to which their sizes are broadcast; joined by key the items of a model would meet in one task.
+MOST_MODELS = 100_000
 
 
 def model_rank(items: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def model_rank(items: DataFrame) -> DataFrame:
     placed = with_positions(items, [model.asc(), score.desc(), F.col("ord").asc()], "_rank_at")
     sizes = placed.groupBy(model.alias("_model")).agg(F.min("_rank_at").alias("_rank_lo"), F.count(F.lit(1)).alias("_rank_n"))
     rows = (
-        placed.join(sizes, model == F.col("_model"))
+        placed.join(F.broadcast(sizes) if sizes.count() <= MOST_MODELS else sizes, model == F.col("_model"))
         .withColumn("model_rank", F.col("_rank_at") - F.col("_rank_lo") + 1)
         .withColumn("rank_key", F.col("model_rank") / F.col("_rank_n")).drop("_rank_at", "_model", "_rank_lo", "_rank_n")
     )
