@@ -80,3 +80,12 @@ def test_the_list_of_hidden_rows_reads_the_view_once(spark):
 def test_items_of_a_model_stay_where_they_are(spark):
     items = spark.createDataFrame([(str(i), f"m{i % 3}", i, i) for i in range(30)], "event_id string, model_used string, final_score int, ord int")
     assert "strategy=broadcast" in optimized(rank.model_rank(items).where("model_rank = 1")) or "rightHint=(strategy=broadcast)" in rank.model_rank(items)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_articles_meet_events_in_parts(spark, monkeypatch):
+    articles = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "article_id long, vec array<double>")
+    events = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "event_id long, centroid array<double>")
+    whole = sorted(map(tuple, recall.centroid_recall(articles, events, floor=0.5).collect()))
+    monkeypatch.setattr(recall, "PART_ROWS", 3)
+    monkeypatch.setattr(recall, "BLOCK_ROWS", 4)
+    assert sorted(map(tuple, recall.centroid_recall(articles, events, floor=0.5).collect())) == whole and len(whole) > 20

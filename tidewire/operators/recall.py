@@ -1,9 +1,9 @@
 """Which stored events a new article may belong to, by similarity.
 
 The vectors of an event's members meet the articles in blocks: an event is dealt
-to one block as a whole, articles to all blocks (of the neighbouring time bands,
-where a window bounds the search).  A block is a product of two matrices; what
-leaves it are the pairs over the threshold and the best few of the gray band, so
+to one block as a whole, articles to one part and with it to all blocks (of the
+neighbouring time bands, where a window bounds the search).  A part and a block
+are a product of two matrices, of bounded size both; what leaves it are the pairs over the threshold and the best few of the gray band, so
 pairs are never rows and nothing passes through the driver.
 """
 
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.greedy import GRAY_FLOOR, GRAY_PLACES, same_pairs, unit_rows
 
-BLOCK_ROWS = 4000
+BLOCK_ROWS = 8000
+PART_ROWS = 8000
 LEFT_ROWS = 256
 #: Scores that differ by less are ties.
 DIGITS = 9
@@ -24,16 +25,19 @@ DIGITS = 9
 
 def _dealt(articles: DataFrame, members: DataFrame, seconds: float | None):
     """``articles`` (article_id, vec, at) and ``members`` (event_id, member_id,
-    vec, at: the event's), met by (band, block)."""
+    vec, at: the event's), met by (band, block, part)."""
     band = lambda c: F.lit(0).cast("long") if seconds is None else F.floor(F.unix_micros(c) / F.lit(int(seconds * 10**6)))
     members = members.withColumn("band", band("at"))
     blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     right = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("event_id"), F.col("blocks")).cast("int"))
     near = [0] if seconds is None else [-1, 0, 1]
-    left = articles.withColumn("band", F.explode(F.array(*[band("at") + n for n in near]))).join(blocks, "band")
+    left = articles.withColumn("band", F.explode(F.array(*[band("at") + n for n in near])))
+    parts = left.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    left = left.join(blocks, "band").join(parts, "band").withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = right.join(parts, "band").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = lambda df, *names: df.where("vec is not null").select(  # noqa: E731  columns of its own: both may come from one table
-        *[F.col(n).alias(n) for n in ("band", "block", *names, "vec")]).groupBy("band", "block")
+        *[F.col(n).alias(n) for n in ("band", "block", "part", *names, "vec")]).groupBy("band", "block", "part")
     return side(left, "article_id").cogroup(side(right, "event_id", "member_id"))
 
 
