@@ -89,3 +89,10 @@ def test_articles_meet_events_in_parts(spark, monkeypatch):
     monkeypatch.setattr(recall, "PART_ROWS", 3)
     monkeypatch.setattr(recall, "BLOCK_ROWS", 4)
     assert sorted(map(tuple, recall.centroid_recall(articles, events, floor=0.5).collect())) == whole and len(whole) > 20
+
+
+def test_pages_come_to_a_worker_in_small_batches(spark):
+    pages = spark.createDataFrame([(i, f"<p>page {i}</p>") for i in range(5)], "page_id long, html string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert sorted(r.body for r in content.extract_content(pages).collect()) == [f"page {i}" for i in range(5)]
+    assert 0 < int(spark.conf.get(key)) <= content.BATCH_ROWS

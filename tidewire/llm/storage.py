@@ -19,6 +19,8 @@ from urllib.parse import unquote, urlsplit
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.session import bounded_batches  # noqa: F401  its users import it from here
+
 _own_folder: list[str] = []
 
 
@@ -39,13 +41,6 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidewire-{label}-{uuid.uuid4().hex}"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold Arrow batches of whole texts to a size that Python workers can copy."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def written(df: DataFrame, uri: str) -> DataFrame:
     """``df`` stored as Parquet at ``uri`` and read back: cuts the lineage."""
     df.write.mode("overwrite").parquet(uri)
