@@ -96,3 +96,13 @@ def test_pages_come_to_a_worker_in_small_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     assert sorted(r.body for r in content.extract_content(pages).collect()) == [f"page {i}" for i in range(5)]
     assert 0 < int(spark.conf.get(key)) <= content.BATCH_ROWS
+
+
+def test_many_components_are_one_call(spark):
+    rows = [(i, float(i), ["s"], True, "signal", "T1") for i in range(12)]
+    events = spark.createDataFrame(rows, "event_id long, final_score double, sources array<string>, can_be_main boolean, role string, tier string").selectExpr(
+        "*", "timestamp'2024-01-01' as first_seen_at", "timestamp'2024-01-01' as last_seen_at")
+    cited = events.selectExpr("event_id", "event_id div 2 as key")
+    merges = event_store.merge_order(events, cited, since=F.to_timestamp(F.lit("2023-01-01")))
+    assert sorted(map(tuple, merges.collect())) == [(i, i + 1) for i in range(0, 12, 2)]
+    assert "[bucket#" in optimized(merges)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators.cluster import similar_pairs
-from tidewire.operators.graph import connected_labels
+from tidewire.operators.graph import bucketed, connected_labels
 from tidewire.operators.recall import similar_members
 from tidewire.operators.views import ROLE_RANK, TIER_RANK, ranked
 from tidewire.session import checkpointed
@@ -29,6 +29,8 @@ from tidewire.session import checkpointed
 MEMBER = "struct<article_id: bigint, similarity: double, priority: bigint, source_key: string, keys: array<string>, vec: array<double>, rank: array<int>>"
 EVENT = ("event_id string, main_article_id bigint, title string, summary string, final_score double, source_count bigint, "
          "first_seen_at timestamp, last_seen_at timestamp, members array<" + MEMBER + ">")
+#: Rows of whole components that are folded in one call.
+BUCKET_ROWS = 20_000
 _HEAD = ("event_id string, main_article_id bigint, title string, summary string, final_score double, source_count bigint, first_seen_at timestamp, "
          "last_seen_at timestamp, inserted boolean, absorbed array<string>")
 _MEMBER = "article_id bigint, similarity double, priority bigint, source_key string, keys array<string>, vec array<double>, rank array<int>"
@@ -256,7 +258,8 @@ def merge_order(events: DataFrame, citations: DataFrame, *, since: Column, span_
     labels = connected_labels(_stars(cited.select(F.col("event_id").alias("node"), "key"), "key").distinct())
     rows = cited.groupBy("event_id").agg(F.collect_list("key").alias("cites")).join(live, "event_id").join(labels, F.col("event_id") == labels.node).drop("node")
     kind = events.schema["event_id"].dataType.simpleString()
-    return rows.groupBy("label").applyInPandas(_merger(span_hours), f"source_id {kind}, target_id {kind}")
+    dealt = bucketed(checkpointed(rows), "label", size=BUCKET_ROWS)  # components share neither sources nor events, so a fold takes many
+    return dealt.groupBy("bucket").applyInPandas(_merger(span_hours), f"source_id {kind}, target_id {kind}")
 
 
 def _merger(span_hours: float | None):

@@ -47,6 +47,13 @@ def connected_labels(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def bucketed(rows: DataFrame, *keys: str, size: int) -> DataFrame:
+    """``rows`` with ``bucket``, of about ``size`` rows and with whole keys: many
+    small groups are one call of Python.  ``rows`` are counted, so a table is best."""
+    buckets = max(1, -(-rows.count() // size))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+
+
 def best_by(rows: DataFrame, key: str, rank: list) -> DataFrame:
     """The row of each key with the greatest rank (an ordered list of columns)."""
     names = [c for c in rows.columns if c != key]
