@@ -106,3 +106,10 @@ def test_many_components_are_one_call(spark):
     merges = event_store.merge_order(events, cited, since=F.to_timestamp(F.lit("2023-01-01")))
     assert sorted(map(tuple, merges.collect())) == [(i, i + 1) for i in range(0, 12, 2)]
     assert "[bucket#" in optimized(merges)
+
+
+def test_pairs_of_titles_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(registry, "PAIR_ROWS", 50)
+    found = registry.QUERIES["sequence_affinity"](spark, SF)
+    rows = bindings.table(spark, SF, "documents").count()
+    assert f"Repartition {-(-rows // 50)}, true" in optimized(found)

@@ -148,8 +148,12 @@ def cluster_articles(
     return found.join(mains, "founder_id").select("article_id", "main_article_id", cluster_id(F.col("main_article_id")).alias("event_id"))
 
 
-def text_affinity(pairs: DataFrame) -> DataFrame:
-    """Bigram affinity and sequence ratio of two titles, and the larger."""
+def text_affinity(pairs: DataFrame, *, tasks: int | None = None) -> DataFrame:
+    """Bigram affinity and sequence ratio of two titles, and the larger.
+
+    Titles are few bytes and much work, so by their bytes they would be joined
+    into few tasks; ``tasks`` deals the pairs to that many.
+    """
     from difflib import SequenceMatcher
 
     @F.pandas_udf("double")
@@ -157,7 +161,7 @@ def text_affinity(pairs: DataFrame) -> DataFrame:
         return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)])
 
     left, right = T.event_title(F.col("left_title")), T.event_title(F.col("right_title"))
-    rows = pairs.withColumn("bigram", T.bigram_affinity(T.bigrams(F.col("left_title")), T.bigrams(F.col("right_title"))))
+    rows = (pairs if tasks is None else pairs.repartition(tasks)).withColumn("bigram", T.bigram_affinity(T.bigrams(F.col("left_title")), T.bigrams(F.col("right_title"))))
     rows = rows.withColumn("sequence", ratio(left, right))
     return rows.withColumn("affinity", F.greatest("bigram", "sequence"))
 

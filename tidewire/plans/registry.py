@@ -500,11 +500,16 @@ ORACLE["bigram_affinity"] = ORACLE["bigram_affinity"].rstrip().replace("\nSELECT
 SELECT a, b, CAST""")
 
 
+#: Pairs of titles that one task compares.
+PAIR_ROWS = 4000
+
+
 @query("sequence_affinity")
 def sequence_affinity(spark: SparkSession, sf: str) -> DataFrame:
     g = B.articles(spark, sf).select("id", "title")
     pairs = g.join(g.select((F.col("id") - 1).alias("id"), F.col("id").alias("b"), F.col("title").alias("right_title")), "id")
-    return cluster.text_affinity(pairs.withColumnRenamed("title", "left_title")).select(F.col("id").alias("a"), "b", "bigram", "sequence", "affinity")
+    tasks = max(1, -(-table(spark, sf, "documents").count() // PAIR_ROWS))  # from the footers of the files
+    return cluster.text_affinity(pairs.withColumnRenamed("title", "left_title"), tasks=tasks).select(F.col("id").alias("a"), "b", "bigram", "sequence", "affinity")
 
 
 @query("cluster_articles")
