@@ -29,13 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.graph import connected_labels
+from tidewire.operators.graph import bucketed, connected_labels
 from tidewire.session import checkpointed
 
 GRAY_FLOOR = 0.80
 GRAY_PLACES = 2
 BLOCK_ROWS = 2000
 MOST_ROUNDS = 50
+#: Rows of whole components that are folded in one call.
+BUCKET_ROWS = 2000
 RIVALS = "array<struct<recall: double, at: long, ord: long>>"
 
 
@@ -133,13 +135,15 @@ def _sessions(rows: DataFrame, span_hours: float | None) -> DataFrame:
 def _folded(linked: DataFrame, threshold: float, span_hours: float | None, verdicts: bool) -> DataFrame:
     """(article_id, founder_id, founder_ts, founder_ord) of rows with a component."""
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "ord"], kind="stable").reset_index(drop=True)
-        at = founders(pdf, threshold, span_hours, verdicts)
+        pdf = pdf.sort_values(["label", "session", "ts", "ord"], kind="stable").reset_index(drop=True)
+        part = list(zip(pdf.label.tolist(), pdf.session.tolist(), strict=True))
+        starts = [i for i in range(len(part)) if i == 0 or part[i] != part[i - 1]]
+        at = np.concatenate([founders(pdf.iloc[a:b], threshold, span_hours, verdicts) + a for a, b in zip(starts, [*starts[1:], len(part)], strict=True)])
         return pd.DataFrame({"article_id": pdf.article_id, "founder_id": pdf.article_id.to_numpy()[at],
                              "founder_ts": pdf.ts.to_numpy()[at], "founder_ord": pdf.ord.to_numpy()[at]})
 
     kind = linked.schema["article_id"].dataType.simpleString()
-    return linked.groupBy("label", "session").applyInPandas(fold, f"article_id {kind}, founder_id {kind}, founder_ts timestamp, founder_ord long")
+    return bucketed(linked, "label", "session", size=BUCKET_ROWS).groupBy("bucket").applyInPandas(fold, f"article_id {kind}, founder_id {kind}, founder_ts timestamp, founder_ord long")
 
 
 def _rivals(waiting: DataFrame, members: DataFrame, threshold: float, span_hours: float | None) -> DataFrame:
@@ -248,7 +252,7 @@ def grouped(articles: DataFrame, links: DataFrame, *, threshold: float, span_hou
     alone = rows.where("label is null").select("article_id", F.col("article_id").alias("founder_id"), F.col("ts").alias("founder_ts"), F.col("ord").alias("founder_ord"))
     none = F.lit(None)
     if friends is None:
-        linked = linked.withColumn("friends", none.cast("array<string>")).withColumn("rivals", none.cast(RIVALS))
+        linked = checkpointed(linked).withColumn("friends", none.cast("array<string>")).withColumn("rivals", none.cast(RIVALS))
         return _folded(linked, threshold, span_hours, False).unionByName(alone).select("article_id", "founder_id")
     linked = checkpointed(linked.join(friends.groupBy("article_id").agg(F.collect_list("friend").alias("friends")), "article_id", "left"))
     found = checkpointed(_folded(linked.withColumn("rivals", none.cast(RIVALS)), threshold, span_hours, True))
@@ -256,7 +260,7 @@ def grouped(articles: DataFrame, links: DataFrame, *, threshold: float, span_hou
     vectors = rows.where("vec is not null").select("article_id", "vec", "ts", "ord", "label")
     for _ in range(MOST_ROUNDS):
         held = vectors.join(found.unionByName(alone), "article_id").withColumn("label", F.coalesce("label", F.col("founder_id")))
-        rivals = _rivals(waiting, held, threshold, span_hours)
+        rivals = checkpointed(_rivals(waiting, held, threshold, span_hours))
         after = checkpointed(_folded(linked.join(rivals, "article_id", "left"), threshold, span_hours, True))
         moved = after.join(found.select("article_id", F.col("founder_id").alias("was")), "article_id").where("founder_id <> was")
         found = after
