@@ -3,12 +3,13 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
-from tidewire.llm import hamming_search
-from tidewire.operators import cluster, content, event_store, rank, recall
+from tidewire.llm import components, hamming_search
+from tidewire.operators import cluster, content, event_store, graph, rank, recall
 from tidewire.plans import bindings, registry
 from tidewire.sources import paged
 
@@ -113,3 +114,24 @@ def test_pairs_of_titles_are_dealt_by_their_number(spark, monkeypatch):
     found = registry.QUERIES["sequence_affinity"](spark, SF)
     rows = bindings.table(spark, SF, "documents").count()
     assert f"Repartition {-(-rows // 50)}, true" in optimized(found)
+
+
+@pytest.mark.parametrize("labels", [graph.connected_labels, components.connected_components])
+def test_long_chains_settle_in_few_rounds(spark, labels):
+    chain = [0, *range(90, 0, -1)]  # the least node is far from what the others settle on first
+    edges = [*zip(chain, chain[1:]), (200, 201), (201, 200), (205, 201), (300, 300)]
+    found = {r.node: r.label for r in labels(spark.createDataFrame(edges, "src long, dst long").repartition(3)).collect()}
+    found.pop(300, None)  # only a loop
+    assert found == {**dict.fromkeys(chain, 0), 200: 200, 201: 200, 205: 200}
+    assert labels(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_what_an_event_absorbs_goes_with_one_member():
+    day = pd.Timestamp("2024-01-01")
+    member = {"similarity": 0.9, "published_at": day, "source_key": "s", "keys": [], "vec": None, "rank": [0, 0, 0]}
+    rows = [{"group_id": f"g{g}", "ord": g, "at": at, "main_article_id": g, "title": "", "summary": "", "final_score": 1.0, "source_count": 1, "first_seen_at": day,
+             "last_seen_at": day, "article_id": g + at, "priority": None, **member} for g in range(40) for at in (0, 1)]
+    stored = pd.DataFrame(columns=["event_id", "priority"])
+    out = event_store._folder(0.9, 72)(pd.DataFrame(rows), stored)
+    assert len(out) == 41 and set(out.event_id) == {"g0"}
+    assert sum(map(len, out.absorbed)) == 39 and out.absorbed.iloc[0] == [f"g{g}" for g in range(1, 40)]

@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping.
+"""Connected components by contraction, for the operators of this folder.
 
 Edges and labels stay distributed; a node with very many edges meets only
 aggregates with map-side combination and joins that adaptive execution splits.
@@ -9,43 +9,24 @@ at most.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tidewire.operators.graph import connected_labels
 
 from .storage import removed, work_folder, written
 
 
-def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) -> (node, label): the smallest node that each can reach.
 
     Loops, repeated and reversed edges change nothing; no edges give an empty
-    result.  More rounds than ``max_rounds`` raise an error.
+    result.
     """
-    folder = work_folder(edges.sparkSession, "components")
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct()
-    both = written(both, f"{folder}/edges")
-    labels = written(
-        both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
-        .select("node", F.least("node", "m").alias("label")),
-        f"{folder}/labels-0",
-    )
-    for k in range(1, max_rounds + 1):
-        near = (
-            both.join(labels, both.dst == labels.node)
-            .groupBy("src")
-            .agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(near, labels.node == near.src).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("low")
-        )
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        jumped = lower.join(up, "low", "left").select(
-            "node", F.least("low", F.coalesce("next", "low")).alias("label"), "old"
-        )
-        stored = written(jumped, f"{folder}/labels-{k}")
-        done = stored.where("label <> old").isEmpty()
-        removed(edges.sparkSession, f"{folder}/labels-{k - 1}")
-        if done:
-            removed(edges.sparkSession, f"{folder}/edges")
-            return stored.select("node", "label")
-        labels = stored.select("node", "label")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    folder, uris = work_folder(edges.sparkSession, "components"), []
+
+    def store(df: DataFrame) -> DataFrame:
+        uris.append(f"{folder}/{len(uris)}")
+        return written(df, uris[-1])
+
+    labels = connected_labels(edges.select("src", "dst").where("src <> dst"), store=store)
+    removed(edges.sparkSession, *uris[:-1])
+    return labels

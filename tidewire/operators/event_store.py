@@ -15,6 +15,8 @@ written: the result are the changed events alone.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,7 @@ EVENT = ("event_id string, main_article_id bigint, title string, summary string,
          "first_seen_at timestamp, last_seen_at timestamp, members array<" + MEMBER + ">")
 #: Rows of whole components that are folded in one call.
 BUCKET_ROWS = 20_000
+EPOCH = pd.Timestamp(0)
 _HEAD = ("event_id string, main_article_id bigint, title string, summary string, final_score double, source_count bigint, first_seen_at timestamp, "
          "last_seen_at timestamp, inserted boolean, absorbed array<string>")
 _MEMBER = "article_id bigint, similarity double, priority bigint, source_key string, keys array<string>, vec array<double>, rank array<int>"
@@ -102,8 +105,9 @@ def _components(groups: DataFrame, events: DataFrame, threshold: float, window_h
 
 class _Event:
     def __init__(self, event_id: str):
-        self.event_id, self.inserted, self.absorbed = event_id, False, []
+        self.event_id, self.inserted, self.absorbed, self.slot = event_id, False, [], None
         self.members: dict[int, dict] = {}
+        self.keys, self.sources, self.vecs = set(), set(), []
 
     def facts(self, row) -> None:
         for name in ("main_article_id", "title", "summary", "final_score", "source_count", "first_seen_at", "last_seen_at"):
@@ -118,6 +122,45 @@ class _Event:
         return self.last_seen_at >= row.last_seen_at - window and joint <= window
 
 
+class _Events:
+    """The events of a component by id, by article and by when they were last
+    seen, so a group meets those of its window and not all before it."""
+
+    def __init__(self, window: pd.Timedelta):
+        self.window, self.by_id, self.of_article, self.slots = window, {}, {}, {}
+
+    def _slot(self, at: pd.Timestamp) -> int:
+        return (at - EPOCH) // (self.window or pd.Timedelta(hours=1))
+
+    def place(self, event: _Event) -> None:
+        """Note when ``event`` was last seen."""
+        slot = None if pd.isna(event.last_seen_at) else self._slot(event.last_seen_at)
+        if slot != event.slot:
+            self.slots.get(event.slot, {}).pop(event.event_id, None)
+            event.slot = slot
+        if slot is not None:
+            self.slots.setdefault(slot, {})[event.event_id] = event
+
+    def add(self, event: _Event, member: dict) -> None:
+        event.members[member["article_id"]] = member
+        event.keys.update(member["keys"])
+        event.sources.add(member["source_key"])
+        if member["vec"] is not None:
+            event.vecs.append(member["vec"])
+        self.of_article[member["article_id"]] = event.event_id
+
+    def fitting(self, row) -> list[_Event]:
+        """The events whose window ``row`` fits."""
+        if pd.isna(row.last_seen_at):
+            return []
+        low = self._slot(row.last_seen_at - self.window)
+        if pd.isna(row.first_seen_at):
+            slots = [s for s in self.slots if s >= low]
+        else:
+            slots = range(low, self._slot(row.first_seen_at + self.window) + 1)
+        return [e for s in slots for e in self.slots.get(s, {}).values() if e.fits(row, self.window)]
+
+
 def _cosine(a, b) -> float:
     if a is None or b is None or len(a) != len(b):
         return 0.0
@@ -125,54 +168,56 @@ def _cosine(a, b) -> float:
     return float(np.dot(a, b)) / size if size else 0.0
 
 
-def _similar(row, vec, events: dict[str, _Event], threshold: float, window: pd.Timedelta) -> str | None:
+def _similar(vec, fitting: list[_Event], threshold: float) -> str | None:
     if vec is None:
         return None
     best = None
-    for e in events.values():
-        held = [m["vec"] for m in e.members.values() if m["vec"] is not None]
-        if held and e.fits(row, window):
-            weakest = min(_cosine(vec, v) for v in held)
+    for e in fitting:
+        if e.vecs:
+            weakest = min(_cosine(vec, v) for v in e.vecs)
             if weakest >= threshold and (best is None or (-weakest, e.event_id) < best):
                 best = (-weakest, e.event_id)
     return best[1] if best else None
 
 
-def _take(row, held: dict[int, dict], events: dict[str, _Event], threshold: float, window: pd.Timedelta) -> _Event:
+def _take(row, held: dict[int, dict], events: _Events, threshold: float) -> _Event:
     """The event that a group extends or founds, changed accordingly."""
-    prior = {a: e.event_id for e in events.values() for a in held if a in e.members}
+    prior = {a: events.of_article[a] for a in held if a in events.of_article}
     keys = {k for m in held.values() for k in m["keys"]}
-    target = row.group_id if row.group_id in events else None
+    target = row.group_id if row.group_id in events.by_id else None
     if target is None and prior:
-        target = max((events[e] for e in set(prior.values())), key=_Event.merge_rank).event_id
-    if target is None and keys:
-        citing = [e for e in events.values() if e.fits(row, window) and any(keys & set(m["keys"]) for m in e.members.values())]
-        target = max(citing, key=_Event.merge_rank).event_id if citing else None
+        target = max((events.by_id[e] for e in set(prior.values())), key=_Event.merge_rank).event_id
     if target is None:
-        target = _similar(row, held[row.main_article_id]["vec"] if row.main_article_id in held else None, events, threshold, window)
+        fitting = events.fitting(row)
+        citing = [e for e in fitting if keys & e.keys]
+        if citing:
+            target = max(citing, key=_Event.merge_rank).event_id
+        else:
+            target = _similar(held[row.main_article_id]["vec"] if row.main_article_id in held else None, fitting, threshold)
     eligible = [m for a, m in held.items() if prior.get(a) in (None, target)]
     if target is None:
-        event = events[row.group_id] = _Event(row.group_id)
+        event = events.by_id[row.group_id] = _Event(row.group_id)
         event.inserted = True
         event.facts(row)
     else:
-        event = events[target]
+        event = events.by_id[target]
         if len(eligible) == len(held) and (row.final_score or 0.0) > (event.final_score or 0.0):
             event.facts(row)
         elif eligible:
             event.last_seen_at = max(event.last_seen_at, *(m["published_at"] for m in eligible))
         if target != row.group_id:
             event.absorbed.append(row.group_id)
-    known = {**{a: m["vec"] for a, m in held.items()}, **{a: m["vec"] for a, m in event.members.items()}}
-    main_vec = known.get(event.main_article_id)
+    events.place(event)
+    main = event.members.get(event.main_article_id) or held.get(event.main_article_id)
+    main_vec = main["vec"] if main else None
     for m in eligible:
         if m["article_id"] in event.members:
             continue
         similarity = m["similarity"]
         if event.event_id != row.group_id and m["vec"] is not None and main_vec is not None:
             similarity = _cosine(m["vec"], main_vec)
-        event.members[m["article_id"]] = {**m, "similarity": similarity, "priority": len(event.members)}
-    event.source_count = len({m["source_key"] for m in event.members.values()})
+        events.add(event, {**m, "similarity": similarity, "priority": len(event.members)})
+    event.source_count = len(event.sources)
     return event
 
 
@@ -180,20 +225,24 @@ def _folder(threshold: float, window_hours: float):
     window = pd.Timedelta(hours=window_hours)
 
     def fold(groups: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        events: dict[str, _Event] = {}
+        events = _Events(window)
         for row in stored.sort_values("priority").itertuples():
-            event = events.get(row.event_id)
+            event = events.by_id.get(row.event_id)
             if event is None:
-                event = events[row.event_id] = _Event(row.event_id)
+                event = events.by_id[row.event_id] = _Event(row.event_id)
                 event.facts(row)
-            event.members[row.article_id] = {f: getattr(row, f) for f in _FIELDS}
+                events.place(event)
+            events.add(event, {f: getattr(row, f) for f in _FIELDS})
         touched: dict[str, _Event] = {}
-        for _, rows in groups.sort_values(["ord", "group_id", "at"], kind="stable").groupby(["ord", "group_id"], sort=False):
-            held = {r.article_id: {"published_at": r.published_at, **{f: getattr(r, f, None) for f in _FIELDS}} for r in rows.itertuples()}
-            event = _take(next(rows.itertuples()), held, events, threshold, window)
+        ordered = groups.sort_values(["ord", "group_id", "at"], kind="stable").itertuples()
+        for _, same in groupby(ordered, key=lambda r: (str(r.ord), r.group_id)):
+            rows = list(same)
+            held = {r.article_id: {"published_at": r.published_at, **{f: getattr(r, f, None) for f in _FIELDS}} for r in rows}
+            event = _take(rows[0], held, events, threshold)
             touched[event.event_id] = event
-        rows = [(e.event_id, e.main_article_id, e.title, e.summary, e.final_score, e.source_count, e.first_seen_at, e.last_seen_at, e.inserted, e.absorbed,
-                 *(m[f] for f in _FIELDS)) for e in touched.values() for m in e.members.values()]
+        # what an event has absorbed goes with its first member only, as both grow
+        rows = [(e.event_id, e.main_article_id, e.title, e.summary, e.final_score, e.source_count, e.first_seen_at, e.last_seen_at, e.inserted,
+                 [] if i else e.absorbed, *(m[f] for f in _FIELDS)) for e in touched.values() for i, m in enumerate(e.members.values())]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _HEAD.split(", ")] + _FIELDS, dtype=object)
 
     return fold
@@ -215,7 +264,8 @@ def upsert_groups(store: DataFrame, groups: DataFrame, facts: DataFrame, *, thre
     rows = left.groupBy("label").cogroup(right.groupBy("label")).applyInPandas(_folder(threshold, window_hours), f"{_HEAD}, {_MEMBER}")
     head = [c.split()[0] for c in _HEAD.split(", ")][1:]
     member = F.struct("priority", F.struct(*_FIELDS).alias("m"))  # priorities of an event differ
-    changes = rows.groupBy("event_id").agg(*[F.first(c).alias(c) for c in head], F.array_sort(F.collect_list(member)).alias("held"))
+    facts_of = [(F.flatten(F.collect_list(c)) if c == "absorbed" else F.first(c)).alias(c) for c in head]
+    changes = rows.groupBy("event_id").agg(*facts_of, F.array_sort(F.collect_list(member)).alias("held"))
     return changes.select("event_id", *head[:7], F.transform("held", lambda x: x.m).alias("members"), "inserted", "absorbed")
 
 

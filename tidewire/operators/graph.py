@@ -28,23 +28,32 @@ def follow_redirects(ids: DataFrame, redirects: DataFrame, *, hops: int = MAX_HO
     return state.select("id", "target")
 
 
-def connected_labels(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+def connected_labels(edges: DataFrame, *, store=checkpointed) -> DataFrame:
     """(src, dst) -> (node, label): the least node of each component.
 
-    Minimum labels with pointer jumping; every round is checkpointed.
+    In a round every node goes into the first of its neighbours and itself, and
+    edges then lead between those that are left.  First is the least node at
+    the start, which ends stars at once, and then what a hash, another in each
+    round, puts first: so about half of the nodes go, however they are called
+    and however long their chains are.  ``store`` cuts the lineage of a table.
     """
-    cut = checkpointed
-    both = cut(edges.union(edges.select("dst", "src")).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("label")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.node == near.src).select("node", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        nxt = cut(low.join(up, "low", "left").select("node", "old", F.least("low", F.coalesce("next", "low")).alias("label")))
-        if nxt.where("label <> old").isEmpty():
-            return nxt.select("node", "label")
-        labels = nxt.select("node", "label")
-    raise RuntimeError("components did not settle")
+    links = store(edges.union(edges.select("dst", "src")).where("src is not null and dst is not null").distinct())
+    rounds = []
+    while not rounds or not links.isEmpty():
+        at = len(rounds)
+        order = lambda c: F.struct((F.xxhash64(F.lit(at), c) if at else F.lit(0).cast("long")).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        first = links.groupBy(F.col("src").alias("node")).agg(F.min(order("dst")).alias("near"))
+        rounds.append(into := store(first.select("node", F.least(order("node"), "near")["n"].alias("label"))))
+        ends = [into.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst")]
+        moved = links.join(ends[0], "src").join(ends[1], "dst").where("src_label <> dst_label")
+        links = store(moved.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct())
+    labels = rounds.pop()
+    for n, into in enumerate(reversed(rounds), 1):
+        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        labels = into.join(ends, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+        labels = store(labels) if n % 4 == 0 or n == len(rounds) else labels
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return store(labels.join(least, "label").select("node", F.col("least").alias("label")))
 
 
 def bucketed(rows: DataFrame, *keys: str, size: int) -> DataFrame:

@@ -56,11 +56,11 @@ def stored_events(spark: SparkSession, sf: str) -> DataFrame:
     """The events that a stream of groups leaves after three triggers."""
     folder = f"{checkpoint_folder(spark)}/stored-events-{uuid.uuid4().hex}"
     groups = groups_of(spark, sf)
-    for n in range(BATCHES):  # one file for each trigger
-        groups.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/groups")
-    stream = spark.readStream.schema(groups.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/groups")
     facts = event_store.article_facts(articles_of(spark, sf))
-    event_stream.take_groups(stream, f"{folder}/events", f"{folder}/checkpoint", facts, threshold=THRESHOLD, window_hours=WINDOW).awaitTermination()
+    for n in range(BATCHES):  # the stream goes on when a batch has come, whatever its files
+        groups.where(F.col("batch") == n).drop("batch").write.mode("append").parquet(f"{folder}/groups")
+        stream = spark.readStream.schema(groups.drop("batch").schema).parquet(f"{folder}/groups")
+        event_stream.take_groups(stream, f"{folder}/events", f"{folder}/checkpoint", facts, threshold=THRESHOLD, window_hours=WINDOW).awaitTermination()
     return event_stream.stored_events(spark, f"{folder}/events").select(
         "event_id", "main_article_id", "title", "final_score", "source_count", F.unix_micros("first_seen_at").alias("first_seen_at"),
         F.unix_micros("last_seen_at").alias("last_seen_at"), F.array_join(F.transform("members", lambda m: m.article_id.cast("string")), ",").alias("members"))
