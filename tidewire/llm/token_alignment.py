@@ -10,9 +10,9 @@ the same bytes.  Transitions are memoised by residual and next token.
 Both tokenizers cut before white space that follows another character and between
 a letter and a mark (the second one's vocabulary tells where), so the residual is
 empty there too.  Words with the white space before them are thus aligned once,
-many at a time, and go through a bounded cache; texts where one of them can't be
-aligned, or that hold characters whose kind is not the same for all libraries,
-are read whole.
+many at a time, and go through a bounded cache, flat arrays by the word's place;
+texts where one of them can't be aligned, or that hold characters whose kind is
+not the same for all libraries, are read whole.
 
 A pair of ids is linked in a document if the document has a group with both.
 How many documents hold each pair is counted over the whole corpus; the counts
@@ -33,6 +33,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,15 @@ LONGEST_CACHED = 64
 MOST_TRANSITIONS = 400_000
 ROWS = 128
 SIDE_BITS = 32
+LEAST_LINKS = 1 << 20
 #: These count as white space for some libraries only.
 LETTER, MARK = r"[^\W\d_]", r"[!-/:-@\[-`{-~]"
 _letter, _mark = re.compile(LETTER).match, re.compile(MARK).match
 _odd = re.compile("[\x1c-\x1f᠎]").search
+#: One space and what both libraries read alike with or without the words around.
+_plain = re.compile(rf" [^\s{SPACE}]+").fullmatch
+#: ASCII and letters that have been letters in all versions of Unicode since 2.0.
+_settled = re.compile("[\x00-\x7fÀ-ÖØ-öø-ſА-яぁ-ゔァ-ヺ一-龥가-힣]+").fullmatch
 
 
 def _byte_letters() -> dict[str, int]:
@@ -71,10 +77,10 @@ BYTE_LEVEL_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 class ByteLevelSide:
     """Ids of a byte-level vocabulary of the tokenizers library.
 
-    ASCII words go through a faster encoder over the same vocabulary, which
-    merges by id where the library merges by the file's list.  Both give the same
-    ids if merges make ids in ascending order and the library encodes every piece
-    as itself: then whatever two symbols spell out a piece when its turn comes
+    ASCII words, and plain ones of settled letters too, go through a faster
+    encoder over the same vocabulary, which merges by id where the library merges
+    by the file's list.  Both give the same ids if merges make ids in ascending
+    order and the library encodes every piece as itself: then whatever two symbols spell out a piece when its turn comes
     are the two that the list names.  That is tried for all pieces when the file
     is read; if it doesn't hold, the library encodes all words.
     """
@@ -115,6 +121,29 @@ class ByteLevelSide:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
+    def ids_of_plain_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that begin with their only space, and how many each
+        has.  The space parts a word from the one before, so they are read as one text."""
+        ids = np.array(self._joined(words), "<i4")
+        ends = np.cumsum(self.widths[ids])
+        word_ends = np.cumsum([len(w.encode()) for w in words])
+        closes = np.zeros(int(max(ends[-1], word_ends[-1])) + 1, bool)
+        closes[word_ends] = True
+        last = np.flatnonzero(closes[ends])
+        if len(last) != len(words) or last[-1] != len(ids) - 1:
+            return _flat(list(map(self.ids, words)))
+        return ids, np.diff(last, prepend=-1)
+
+    def _joined(self, words: list[str]) -> list[int]:
+        text = "".join(words)
+        if self.quick is not None and (text.isascii() or _settled(text)):
+            return self.quick(text)
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def settled(self, word: str) -> bool:
+        """Whether the faster encoder may read this plain word."""
+        return self.quick is not None and (word.isascii() or _settled(word) is not None)
+
     def ids_of_words(self, words: list[str]) -> list[bytes]:
         """One call for words that end without white space and begin with white
         space or a mark: after a letter both are cut off, so a letter goes in
@@ -148,7 +177,7 @@ def _word_cutter(beside: set[str]):
     kept = {y for x, y in beside if y.isspace() and x != SPACE and not x.isspace()}
     parts = []
     if not any(_letter(x) and _mark(y) for x, y in beside):
-        parts.append(rf"\s*{LETTER}+(?={MARK})")
+        parts.append(rf"\s*+{LETTER}++(?={MARK})")
     if kept:
         marks = "".join(map(re.escape, sorted(kept)))
         parts.append(rf"\s*\S+(?:[{marks}]\s*\S+)*(?:[{marks}]\s*)?")
@@ -232,7 +261,7 @@ class Alignment:
         within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         return np.repeat(self.a, each) << SIDE_BITS | self.b[np.repeat(np.repeat(ends_b - n_b, n_a), each) + within]
 
-    def marked(self) -> list[int]:
+    def marked(self) -> np.ndarray:
         """The tokens in the order ``a1,a2|b1;``, each as three times its id and the mark behind."""
         (ends_a, ends_b), (n_a, n_b) = self.ends, self.sizes
         out = np.empty(len(self.a) + len(self.b), np.int64)
@@ -241,86 +270,218 @@ class Alignment:
         b[ends_b - 1] += 2
         out[np.arange(len(a)) + np.repeat(ends_b - n_b, n_a)] = a
         out[np.arange(len(b)) + np.repeat(ends_a, n_b)] = b
-        return out.tolist()
+        return out
 
 
-class Aligner:
-    """Both sides and their transducer in one worker; what it knows is bounded.
+def _flat(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each text has."""
+    return np.frombuffer(b"".join(ids), "<i4"), np.array([len(b) // 4 for b in ids], np.int64)
+
+
+def _ends_open(word: str) -> bool:
+    return word[-1].isspace()
+
+
+class _Places(dict):
+    """Word to place; a word that is asked for first gets a free place or the next."""
+
+    def __init__(self):
+        super().__init__()
+        self.size, self.free, self.fresh = 0, [], []
+
+    def new(self) -> int:
+        if self.free:
+            return self.free.pop()
+        self.size += 1
+        return self.size - 1
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        place = self[word] = self.new()
+        return place
 
-    What is known of a word: tokens of both sides, groups, their text, the links.
+
+class Known:
+    """What is known of words, and of texts that were read whole, by their place.
+
+    ``numbers``: tokens of both sides, groups, links; ``texts``: the groups, None
+    if a side doesn't spell out the word; ``links`` from ``starts`` on.
     """
 
+    def __init__(self):
+        self.places = _Places()
+        self.texts: list[str | None] = []
+        self.numbers = np.zeros((0, 4), np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int64)
+        self.n_links = self.kept_links = 0
+        self.broken: set[int] = set()
+        self.passing: list[str | int] = []
+
+    def __getitem__(self, place: int) -> tuple[int, int, int, str, np.ndarray]:
+        n_a, n_b, groups, n_links = self.numbers[place].tolist()
+        start = int(self.starts[place])
+        return n_a, n_b, groups, self.texts[place] or "", self.links[start : start + n_links]
+
+    def put(self, places: np.ndarray, found: tuple[np.ndarray, list[str | None], np.ndarray]) -> None:
+        """Keeps what ``Aligner._aligned`` found at these places."""
+        numbers, texts, links = found
+        size, end = self.places.size, self.n_links + len(links)
+        if size > len(self.starts):
+            more = max(size, 2 * len(self.starts)) - len(self.starts)
+            self.numbers = np.concatenate((self.numbers, np.zeros((more, 4), np.int64)))
+            self.starts = np.concatenate((self.starts, np.zeros(more, np.int64)))
+            self.texts += [None] * more
+        if end > len(self.links):
+            self.links = np.concatenate((self.links[: self.n_links], np.zeros(max(end, 2 * len(self.links)) - self.n_links, np.int64)))
+        self.links[self.n_links : end] = links
+        self.numbers[places] = numbers
+        self.starts[places] = np.cumsum(numbers[:, 3]) - numbers[:, 3] + self.n_links
+        for place, text in zip(places.tolist(), texts, strict=True):
+            self.texts[place] = text
+        broken = places[numbers[:, 0] == 0].tolist()
+        if broken or self.broken:
+            self.broken.difference_update(places.tolist())
+            self.broken.update(broken)
+        self.n_links = end
+
+    def taken(self, words: list[str]) -> tuple[np.ndarray, list[str | None], np.ndarray]:
+        """What is known of these words, as ``put`` takes it."""
+        own = list(map(self.places.__getitem__, words))
+        at = np.array(own, np.int64)
+        return self.numbers[at], list(map(self.texts.__getitem__, own)), self.links_of(at)
+
+    def links_of(self, places: np.ndarray) -> np.ndarray:
+        """The links at these places, one after the other."""
+        each, starts = self.numbers[places, 3], self.starts[places]
+        if not each.all():
+            starts, each = starts[each > 0], each[each > 0]
+        if not len(each):
+            return np.zeros(0, np.int64)
+        ends = np.cumsum(each)
+        at = np.ones(ends[-1], np.int64)  # steps from link to link
+        at[0] = starts[0]
+        at[ends[:-1]] = starts[1:] - (starts[:-1] + each[:-1] - 1)
+        return self.links[np.cumsum(at, out=at)]
+
+    def drop_passing(self) -> None:
+        """Long words and whole texts of the last call go; their links are the last ones."""
+        for x in self.passing:
+            place = self.places.pop(x) if isinstance(x, str) else x
+            self.texts[place] = None
+            self.places.free.append(place)
+        self.passing = []
+        self.n_links = self.kept_links
+        if len(self.links) > 4 * self.n_links + LEAST_LINKS:
+            self.links = self.links[: self.n_links].copy()
+
+
+class Aligner:
+    """Both sides and their transducer in one worker; what it knows is bounded."""
+
     def __init__(self, first: str, second: str):
+        from sentencepiece import SentencePieceProcessor
+
         self.a = ByteLevelSide(first)
         self.b = PieceCodec(second, cached_words=CACHED_WORDS // 4)
+        self.library = SentencePieceProcessor(model_file=second)
         self.transducer = Transducer(self.a.token_bytes, self.b.token_bytes)
         self.widths = [np.array([len(x) for x in table]) for table in self.transducer.sides]
         self.words = _word_cutter(self.b.beside)
         most = max(len(self.a.token_bytes), len(self.b.token_bytes))
         self.spelt = [f"{i}{mark}" for i in range(most) for mark in ",|;"]
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.spelt_widths = np.array([len(x) for x in self.spelt])
+        self.known, self.old = Known(), Known()
 
-    def _aligned(self, texts: list[str], a: list[bytes], b: list[bytes]) -> list[tuple | None]:
-        """What is to be known of texts with these ids, None for those that a
-        side doesn't spell out.  All of them run through the transducer in turn."""
-        out: list[tuple | None] = [None] * len(texts)
+    def _aligned(self, texts: list[str], *sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[str | None], np.ndarray]:
+        """Numbers, groups and links of texts with these ids (flat, and how many
+        each text has); zeros and None for those that a side doesn't spell out.
+        All of them run through the transducer in turn."""
         raw, tables = [t.encode() for t in texts], self.transducer.sides
         n_raw = np.array([len(r) for r in raw])
-        flat = [np.frombuffer(b"".join(side), "<i4") for side in (a, b)]
-        ends = [np.cumsum([0, *(len(ids) // 4 for ids in side)]) for side in (a, b)]
+        flat, sizes = zip(*sides, strict=True)
         spelt = [np.concatenate(([0], np.cumsum(width[ids]))) for width, ids in zip(self.widths, flat, strict=True)]
-        even = all((at[end[1:]] - at[end[:-1]] == n_raw).all() for at, end in zip(spelt, ends, strict=True))
-        if even and n_raw.all() and all(b"".join(map(table.__getitem__, ids.tolist())) == b"".join(raw) for ids, table in zip(flat, tables, strict=True)):
-            kept = list(range(len(texts)))
-        else:
-            kept = [i for i, sides in enumerate(zip(a, b, strict=True)) if raw[i] and all(
-                b"".join(map(table.__getitem__, np.frombuffer(ids, "<i4").tolist())) == raw[i] for ids, table in zip(sides, tables, strict=True))]
-            flat = [np.frombuffer(b"".join([side[i] for i in kept]), "<i4") for side in (a, b)]
+        ends = [np.cumsum(size) for size in sizes]
+        even = all((at[end] - at[end - size] == n_raw).all() for at, end, size in zip(spelt, ends, sizes, strict=True))
+        kept, out = None, np.zeros((len(texts), 4), np.int64)
+        if not (even and n_raw.all() and all(b"".join(map(table.__getitem__, ids.tolist())) == b"".join(raw) for ids, table in zip(flat, tables, strict=True))):
+            kept = np.array([len(r) > 0 for r in raw], bool)
+            for ids, size, end, table in zip(flat, sizes, ends, tables, strict=True):
+                ids = list(map(table.__getitem__, ids.tolist()))
+                kept &= [b"".join(ids[e - n : e]) == r for n, e, r in zip(size.tolist(), end.tolist(), raw, strict=True)]
+            flat = [ids[np.repeat(kept, size)] for ids, size in zip(flat, sizes, strict=True)]
+            sizes = [size[kept] for size in sizes]
         whole = Alignment(*flat, self.transducer.groups(*(x.tolist() for x in flat)))
-        upto = [np.cumsum([0, *(len(side[i]) // 4 for i in kept)]) for side in (a, b)]
-        groups = np.searchsorted(whole.ends[0], upto[0][1:]) + 1
-        groups = np.concatenate(([0], groups)).tolist()
-        links = np.concatenate(([0], np.cumsum(whole.sizes[0] * whole.sizes[1])))[groups].tolist()
-        spelt, packed = list(map(self.spelt.__getitem__, whole.marked())), whole.links().tobytes()
-        at, (n_a, n_b) = (upto[0] + upto[1]).tolist(), (np.diff(u).tolist() for u in upto)
-        for k, i in enumerate(kept):
-            text = "".join(spelt[at[k] : at[k + 1]])[:-1]
-            out[i] = (n_a[k], n_b[k], groups[k + 1] - groups[k], text, packed[8 * links[k] : 8 * links[k + 1]])
-        return out
+        upto = [np.cumsum(size) for size in sizes]
+        groups = np.searchsorted(whole.ends[0], upto[0]) + 1
+        links = np.concatenate(([0], np.cumsum(whole.sizes[0] * whole.sizes[1])))[groups]
+        numbers = np.stack([*sizes, np.diff(groups, prepend=0), np.diff(links, prepend=0)], 1)
+        marked = whole.marked()
+        text = "".join(map(self.spelt.__getitem__, marked.tolist()))
+        at = np.concatenate(([0], np.cumsum(self.spelt_widths[marked])))[upto[0] + upto[1]].tolist()
+        parts = [text[i : j - 1] for i, j in zip([0, *at[:-1]], at)]  # without the mark behind the last group
+        if kept is None:
+            return numbers, parts, whole.links()
+        out[kept] = numbers
+        rest = iter(parts)
+        return out, [next(rest) if k else None for k in kept.tolist()], whole.links()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return self.b.encode_marked([t.replace(" ", SPACE) for t in texts])
 
-    def parts(self, texts: list[str]) -> tuple[list[tuple], list[list[int]]]:
-        """Known words, and for each text the places of its words among them; no
-        word for a text that can't be aligned."""
-        if len(self.young) > CACHED_WORDS:
-            self.young, self.old = {}, self.young
+    def _read(self, words: list[str], plain: bool) -> None:
+        """Aligns words of one kind.  Plain ones are given to the libraries, the
+        second of which puts the space in front itself; of others those that end
+        with white space come last."""
+        if not words:
+            return
+        if plain:
+            a, b = self.a.ids_of_plain_words(words), self.library.encode([w[1:] for w in words], num_threads=1)
+            sizes = np.array(list(map(len, b)), np.int64)
+            b = np.fromiter(chain.from_iterable(b), "<i4", sizes.sum()), sizes
+        else:
+            ending = list(filter(_ends_open, words))
+            a = _flat(self.a.ids_of_words(words[: len(words) - len(ending)]) + list(map(self.a.ids, ending)))
+            b = _flat(self._ids(words))
+        self.known.put(np.array(list(map(self.known.places.__getitem__, words)), np.int64), self._aligned(words, a, b))
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Takes up words that have a place but nothing else yet."""
+        known, old = self.known, self.old.places
+        long = [w for w in fresh if len(w) > LONGEST_CACHED]
+        fresh = [w for w in fresh if len(w) <= LONGEST_CACHED]
+        again = [w for w in fresh if w in old]
+        if again:
+            known.put(np.array(list(map(known.places.__getitem__, again)), np.int64), self.old.taken(again))
+            fresh = [w for w in fresh if w not in old]
+        plain = list(filter(_plain, fresh))
+        settled = list(filter(self.a.settled, plain))
+        self._read(settled, plain=True)
+        self._read(list(set(plain).difference(settled)), plain=True)
+        self._read(sorted(set(fresh).difference(plain), key=_ends_open), plain=False)
+        known.kept_links = known.n_links
+        self._read(sorted(long, key=_ends_open), plain=False)
+        known.passing += long
+
+    def parts(self, texts: list[str]) -> tuple[Known, list[list[int]]]:
+        """What is known by place, and for each text the places of its words; none
+        for a text that can't be aligned.  It holds until the next call."""
+        self.known.drop_passing()
+        if len(self.known.places) > CACHED_WORDS:
+            self.known, self.old = Known(), self.known
+        known = self.known
         texts = [" " + t if t else "" for t in texts]
         words = [self.words(t) if self.a.by_word and not _odd(t) else None for t in texts]
-        known, old = self.young, self.old
-        used = set().union(*[w for w in words if w is not None])
-        missing = used.difference(known)
-        known.update((w, old[w]) for w in missing if w in old)
-        fresh = [w for w in missing if w not in known]
-        plain, rest = [w for w in fresh if not w[-1].isspace()], [w for w in fresh if w[-1].isspace()]
-        fresh = plain + rest
-        known.update(zip(fresh, self._aligned(fresh, self.a.ids_of_words(plain) + list(map(self.a.ids, rest)), self._ids(fresh)), strict=True))
-        entries = [known[w] for w in used]
-        place = dict(zip(used, range(len(entries)), strict=True))
-        broken = {i for i, e in enumerate(entries) if e is None} if None in entries else set()
-        out: list[list[int]] = []
-        for text, own in zip(texts, words, strict=True):
-            places = None if own is None else list(map(place.__getitem__, own))
-            if places is None or broken and not broken.isdisjoint(places):
-                places = [len(entries)] if (found := self._aligned([text], [self.a.ids(text)], self._ids([text]))[0]) else []
-                entries += [found] * len(places)
-            out.append(places)
-        for word in fresh:
-            if len(word) > LONGEST_CACHED:
-                del known[word]
-        return [e or (0, 0, 0, "", b"") for e in entries], out
+        out = [None if own is None else list(map(known.places.__getitem__, own)) for own in words]
+        fresh, known.places.fresh = known.places.fresh, []
+        self._learn(fresh)
+        for i, (text, own) in enumerate(zip(texts, out, strict=True)):
+            if own is None or known.broken and not known.broken.isdisjoint(own):
+                place = known.places.new()
+                known.passing.append(place)
+                known.put(np.array([place]), self._aligned([text], _flat([self.a.ids(text)]), _flat(self._ids([text]))))
+                out[i] = [] if place in known.broken else [place]
+        return known, out
 
 
 @lru_cache(4)
@@ -336,18 +497,12 @@ def _aligner(first: str, second: str):
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 sums, texts, pairs, times = [], [], [], []
-                entries, places = aligner.parts([t or "" for t in part.column(1).to_pylist()])
-                numbers = np.array([e[:3] for e in entries], np.int64).reshape(-1, 3)
-                groups, links = [e[3] for e in entries], np.frombuffer(b"".join([e[4] for e in entries]), "<i8")
-                n_links = np.array([len(e[4]) // 8 for e in entries], np.int64)
-                starts = np.cumsum(n_links) - n_links
+                known, places = aligner.parts([t or "" for t in part.column(1).to_pylist()])
                 for own in places:
                     at = np.array(own, np.int64)
-                    each = n_links[at]
-                    within = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    distinct, counted = np.unique(links[np.repeat(starts[at], each) + within], return_counts=True)
-                    sums.append([*numbers[at].sum(0).tolist(), len(within)])
-                    texts.append(";".join(map(groups.__getitem__, own)))
+                    distinct, counted = np.unique(known.links_of(at), return_counts=True)
+                    sums.append(known.numbers[at].sum(0).tolist())
+                    texts.append(";".join(map(known.texts.__getitem__, own)))
                     pairs.append(distinct)
                     times.append(counted)
                 ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
