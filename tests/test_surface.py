@@ -1,5 +1,7 @@
 import datetime as dt
+import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def test_blocks():
     assert content.blocks_of(None) == []
 
 
+def test_a_page_is_read_to_its_end(spark):
+    html = "<article>" + "".join(f"<p>p{i} <a href='https://a.com/{i}'>x</a></p><img src='{i}.png'>" for i in range(1000)) + "</article>"
+    got = content.blocks_of(content.main_region(html))
+    assert [b.get("text") or b["url"] for b in got] == [x for i in range(1000) for x in (f"p{i} x", f"{i}.png")]
+    row = content.extract_content(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
+    assert row.paragraphs == [f"p{i} x" for i in range(1000)] and row.body == "\n".join(row.paragraphs)
+    assert row.links == [f"https://a.com/{i}" for i in range(1000)] and len(json.loads(row.blocks)) == 2000
+
+
+def test_parts_hold_all_pages():
+    pages = pd.DataFrame({"page_id": range(7), "html": ["a" * 30, None, "b" * 500, "", "c" * 40, "d" * 70, "e" * 20]})
+    found = list(content.parts(pages, "html", 100))
+    assert pd.concat(found).equals(pages) and len(found) > 2
+    assert all(sum(len(h or "") for h in part.html[1:]) < 100 for part in found)
+    assert list(content.parts(pages[:0], "html", 100)) == []
+
+
 def test_cited_posts(spark):
     pages = spark.createDataFrame([(1, "<p><a href='https://twitter.com/u/status/5'>x</a><a href='https://a.com/b'>y</a></p>"), (2, None)], "page_id long, html string")
     out = content.cited_keys(content.extract_content(pages))
