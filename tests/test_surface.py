@@ -41,6 +41,21 @@ def test_a_page_is_read_to_its_end(spark):
     assert row.links == [f"https://a.com/{i}" for i in range(1000)] and len(json.loads(row.blocks)) == 2000
 
 
+@pytest.mark.parametrize("inner", ["<article><p>card</p></article>", "<!-- </article> -->", "<!--><i>x</i>", "<script>var t = '</article>';</script>", "<article-card>card</article-card>", "<ARTICLE id=a/>"])
+def test_a_region_runs_to_its_own_end(inner):
+    text = "word " * 60
+    page = f"<p>menu</p><article><p>{text}</p>{inner}<p>after</p></article><p>other</p><!-- end -->"
+    for own in (page, page.replace("</article><p>other", "</article ><p>other")):
+        said = [b["text"] for b in content.blocks_of(content.main_region(own))]
+        assert said[0] == text.strip() and said[-1] == "after"
+
+
+def test_a_region_without_an_end_of_its_own():
+    text = "word " * 60
+    assert content.main_region(f"<p>menu</p><article>{text}<article>card</article>after") == f"{text}<article>card</article>after"
+    assert content.main_region(f"<p>menu</p><article>{text}") == f"<p>menu</p><article>{text}"
+
+
 def test_parts_hold_all_pages():
     pages = pd.DataFrame({"page_id": range(7), "html": ["a" * 30, None, "b" * 500, "", "c" * 40, "d" * 70, "e" * 20]})
     found = list(content.parts(pages, "html", 100))
